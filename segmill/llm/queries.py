@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, neardup, pii, quality
+from . import bpe, decontaminate, flat, neardup, pii, quality, separators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.counted(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -22,6 +26,10 @@ def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_replaced")
 
 
+def op2_flat_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat.token_files(table(spark, sf_dir, "documents"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,4 +43,13 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pii_pseudonyms, op3_benchmark_decontamination, op4_minhash_near_dedup, op9_quality_rules, op10_bpe_round_trip)}
+    found = (
+        op1_pii_pseudonyms,
+        op2_flat_token_files,
+        op3_benchmark_decontamination,
+        op4_minhash_near_dedup,
+        op8_separator_token_counts,
+        op9_quality_rules,
+        op10_bpe_round_trip,
+    )
+    return {f.__name__: f for f in found}
