@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, flat, neardup, pii, quality, separators
+from . import bpe, decontaminate, flat, neardup, pii, quality, separators, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op7_warc_in_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_separator_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.counted(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict:
         op2_flat_token_files,
         op3_benchmark_decontamination,
         op4_minhash_near_dedup,
+        op7_warc_in_zip,
         op8_separator_token_counts,
         op9_quality_rules,
         op10_bpe_round_trip,
