@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, flat, neardup, pii, quality, separators, warc
+from . import bpe, decontaminate, flat, neardup, pii, quality, separators, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_bytes")
+
+
 def op7_warc_in_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -52,6 +56,7 @@ def queries() -> dict:
         op2_flat_token_files,
         op3_benchmark_decontamination,
         op4_minhash_near_dedup,
+        op5_suffix_array_dedup,
         op7_warc_in_zip,
         op8_separator_token_counts,
         op9_quality_rules,

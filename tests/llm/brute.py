@@ -33,3 +33,22 @@ def near_classes(rows: list[tuple], percent: int = 75) -> dict:
             ra, rb = root(a), root(b)
             parent[max(ra, rb)] = min(ra, rb)
     return {d: (len(s), root(d), root(d) == d) for d, s in sets.items()}
+
+
+def stripped(texts: list[str | None], length: int = 400) -> list[tuple[int, int, int, bytes]]:
+    """(n_bytes, n_removed, n_spans, rest) of each text, from the places of all strings of ``length`` bytes."""
+    raw = [(t or "").encode() for t in texts]
+    places: dict = {}
+    for d, b in enumerate(raw):
+        for i in range(len(b) - length + 1):
+            places.setdefault(hash(b[i : i + length]), []).append((d, i))
+    gone = [bytearray(len(b)) for b in raw]
+    for ps in places.values():
+        if len(ps) > 1:
+            for d, i in ps:
+                gone[d][i : i + length] = b"\1" * length
+    out = []
+    for b, g in zip(raw, gone):
+        spans = len(re.findall(b"\1+", bytes(g)))
+        out.append((len(b), sum(g), spans, bytes(x for x, y in zip(b, g) if not y)))
+    return out
