@@ -168,13 +168,13 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bl
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item within its error budget, columns unchanged; no shuffle."""
-    out = docs
+    out, where, schema = docs, docs.columns.index("text"), docs.schema
     for shared in _blocks(benchmark, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             search = _searcher(shared, rate)
             for batch in batches:
-                yield batch.filter(pa.array([not search.search(t) for t in batch.column(docs.columns.index("text")).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not search.search(t) for t in batch.column(where).to_pylist()], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(run, schema)
     return out

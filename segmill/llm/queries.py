@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, flat, neardup, pii, quality, separators, substrings, warc
+from . import bpe, decontaminate, flat, neardup, pii, quality, secrets, separators, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.strip_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept_bytes")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), path="source")
+
+
 def op7_warc_in_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -57,6 +61,7 @@ def queries() -> dict:
         op3_benchmark_decontamination,
         op4_minhash_near_dedup,
         op5_suffix_array_dedup,
+        op6_secret_scan,
         op7_warc_in_zip,
         op8_separator_token_counts,
         op9_quality_rules,
