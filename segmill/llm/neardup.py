@@ -22,7 +22,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,12 +77,20 @@ def expected_collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def promising(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Whether the corrected estimate is at most five deviations below the threshold; broadcasts over leading axes."""
+    """Whether the corrected estimate of each pair of rows is at most five deviations below the threshold.
+
+    ``left`` may be a single row. The correction only lowers an estimate, so it is
+    worked out just for the pairs that would pass without it.
+    """
     some = (left != EMPTY) | (right != EMPTY)
     used = np.maximum(1, some.sum(axis=-1))
     hits = ((left == right) & some).sum(axis=-1)
     t = percent / 100
-    return (hits - expected_collisions(n, m)) / used >= t - 5 * np.sqrt(t * (1 - t) / used)
+    least = used * (t - 5 * np.sqrt(t * (1 - t) / used))
+    good = (hits >= least) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    spots = np.flatnonzero(good)
+    good[spots] = hits[spots] - expected_collisions(n[spots], m[spots]) >= least[spots]
+    return good
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -135,55 +142,81 @@ def _confirm(percent: int):
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of each group (key, i, j) of rows that come sorted by them; a group may go on in the next batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        by = [t.column(c).to_numpy() for c in ("key", "i", "j")]
+        cuts = [0, *(np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in by])) + 1)]
+        columns = {c: np.array(t.column(c).to_pylist() + [None], object)[:-1] if c in ("regs", "text") else t.column(c).to_numpy() for c in t.column_names}
+        for x, y in zip(cuts, cuts[1:]):
+            yield {c: v[x:y] for c, v in columns.items()}
+        held = t.slice(cuts[-1]).combine_chunks().to_batches()[0]
+    if held is not None:
+        yield {c: np.array(held.column(c).to_pylist() + [None], object)[:-1] if c in ("regs", "text") else held.column(c).to_numpy() for c in held.schema.names}
+
+
+def _partners(regs: np.ndarray, n: np.ndarray, group: dict[str, np.ndarray], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of a block pair with its promising partners further on, of other components; each pair once."""
+    comp, side = group["component"], group["side"]
+    within = group["i"][0] == group["j"][0]
+    rows = np.arange(len(comp))
+    for r in rows:
+        other = np.flatnonzero((comp != comp[r]) & ((rows > r) if within else (side > side[r])))
+        for o in np.array_split(other, max(1, len(other) // 1024)) if len(other) else ():
+            good = o[promising(regs[r], regs[o], np.full(len(o), n[r]), n[o], percent)]
+            if len(good):
+                yield r, good
+
+
 def _flag(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(pdf["regs"]), np.uint16).reshape(-1, BUCKETS)
-        n, comp, side = pdf["n"].to_numpy(), pdf["component"].to_numpy(), pdf["side"].to_numpy()
-        within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        hit = np.zeros(len(pdf), bool)
-        for r in range(len(pdf)):
-            if not within and side[r]:
-                continue
-            other = np.flatnonzero((comp != comp[r]) & (within | (side == 1)))
-            other = other[(np.minimum(n[other], n[r]) * 100 >= percent * np.maximum(n[other], n[r]))]
-            for o in np.array_split(other, max(1, len(other) // 512)):
-                good = o[promising(regs[r], regs[o], np.full(len(o), n[r]), n[o], percent)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            regs = np.frombuffer(b"".join(group["regs"]), np.uint16).reshape(-1, BUCKETS)
+            hit = np.zeros(len(regs), bool)
+            for r, good in _partners(regs, group["n"], group, percent):
+                hit[r] = True
                 hit[good] = True
-                hit[r] |= len(good) > 0
-        return pdf.loc[hit, ["key", "id"]]
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(group[c][hit]) for c in ("key", "id", "component")], names=["key", "id", "component"])
 
     return run
 
 
 def _link(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = shingle_sets(pdf["text"].tolist())
-        ids, comp, side = pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["side"].to_numpy()
-        within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while x in parent:
-                x = parent[x]
-            return x
-
-        out = []
-        for r in range(len(pdf)):
-            for o in range(r + 1, len(pdf)):
-                if (within or side[r] != side[o]) and (a := root(comp[r])) != (b := root(comp[o])) and alike(sets[r], sets[o], percent):
-                    parent[max(a, b)] = min(a, b)
-                    out.append((ids[r], ids[o]))
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            sets = shingle_sets(group["text"].tolist())
+            ids, comp = group["id"].tolist(), group["component"].tolist()
+            parent: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in parent:
+                    x = parent[x]
+                return x
+
+            out = []
+            for r, good in _partners(registers(sets), np.array([len(s) for s in sets]), group, percent):
+                for o in good:
+                    if (a := root(comp[r])) != (b := root(comp[o])) and alike(sets[r], sets[o], percent):
+                        parent[max(a, b)] = min(a, b)
+                        out.append((ids[r], ids[o]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in range(2)], names=["u", "v"])
 
     return run
 
 
 def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """``rows`` (with key and id) dealt so that any two rows of a key meet in one group (key, i, j) of at most about two blocks."""
+    """``rows`` (with key and id) dealt and sorted so that any two rows of a key meet in one group (key, i, j) of at most about two blocks."""
     sizes = rows.groupBy(F.col("key").alias("its_key")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = rows.join(sizes, rows["key"] == sizes["its_key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    out = dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -211,14 +244,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     links = near.join(needed, "id").join(hub_texts, "hub").mapInArrow(_confirm(percent), "id long, hub long")
     first = stash(components(links.select(F.col("id").alias("u"), F.col("hub").alias("v"))), "first")
 
-    # Buckets that still hold several components.
+    # Buckets that still hold several components. All pairs with a bucket's hub have been tried, so it stays out.
     named = bands.join(first, bands["id"] == first["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = named.groupBy(F.col("key").alias("open_key")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("open_key")
-    open_rows = named.join(open_keys, named["key"] == open_keys["open_key"], "left_semi")
-    seen = stash(open_rows.join(sketch, "id").select("key", "id", "component", "n", "regs"), "open")
-    flagged = stash(_in_blocks(seen, block).groupBy("key", "i", "j").applyInPandas(_flag(percent), "key long, id long").distinct(), "flagged")
-    more = flagged.join(seen.select("key", "id", "component").distinct(), ["key", "id"]).join(needed, "id").select("key", "id", "component", "text")
-    late = stash(_in_blocks(more, block).groupBy("key", "i", "j").applyInPandas(_link(percent), "u long, v long"), "late")
+    open_keys = named.groupBy(F.col("key").alias("open_key")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min("id").alias("hub")).filter("low != high and size > 2")
+    open_rows = named.join(open_keys, named["key"] == open_keys["open_key"]).filter(F.col("id") != F.col("hub")).select("key", "id", "component")
+    seen = open_rows.join(sketch, "id").select("key", "id", "component", "n", "regs")
+    flagged = stash(_in_blocks(seen, block).mapInArrow(_flag(percent), "key long, id long, component long").distinct(), "flagged")
+    more = flagged.join(needed, "id").select("key", "id", "component", "text")
+    late = stash(_in_blocks(more, block).mapInArrow(_link(percent), "u long, v long"), "late")
     joined = late.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
     merged = components(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
     merged = merged.select(F.col("node").alias("was"), F.col("component").alias("now"))
