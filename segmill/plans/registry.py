@@ -1,11 +1,258 @@
-"""The registered queries of the segmentation engine and their SQL forms."""
+"""The registered queries of the segmentation engine and their SQL forms.
+
+Each query runs over its whole tables. German and English documents are segmented in
+their language; other languages have no rules and are left out by a visible filter.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexicons, native
+from ..functions.lexicons import EOS_TAGS
+from ..operators import evaluate
+from ..operators.cascade import Options
+from ..operators.engine import detokenized, escape_xml, merge_empty_sentences, sentence_texts, tokenize_text, tokenize_xml
+from ..sources.text import paragraphs
+
+_KNOWN = ("de", "en")
+_WORD_RUN = r"[\p{L}\p{N}_]+"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows spread over all cores before a costly pass: small files come as one partition, and long texts bunch up."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * n) if df.rdd.getNumPartitions() < n else df
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(_docs(spark, sf_dir).filter(F.col("lang").isin(*_KNOWN)))
+
+
+def _tokens(spark: SparkSession, sf_dir: str, options: Options | None = None, **how) -> DataFrame:
+    return tokenize_text(_known(spark, sf_dir), options, lang="lang", **how)
+
+
+def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens by language and class."""
+    docs = _known(spark, sf_dir)
+    tokens = tokenize_text(docs, lang="lang", separator="single_newlines")
+    # Counts by document come first and are small; the join brings in the language.
+    per = tokens.groupBy("doc_id", "token_class").agg(F.count("*").alias("n"))
+    langs = _docs(spark, sf_dir).select("doc_id", "lang")
+    return per.join(langs, "doc_id").groupBy("lang", "token_class").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"))
+
+
+def spaces_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(F.btrim(F.regexp_replace("text", r"[ \t\n\r\f]+", " "))).alias("text_md5"))
+
+
+def baseline_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.baseline(_docs(spark, sf_dir))
+
+
+def line_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs(_docs(spark, sf_dir), "single_newlines").select("doc_id", "par_no", "par_start", F.md5("text").alias("par_md5"))
+
+
+def block_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank-line paragraphs of the conversations' turns, joined by blank lines in their order."""
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    docs = turns.select(F.col("conv_id").alias("doc_id"), F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
+    return paragraphs(docs, "empty_lines").groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.max("par_start").alias("last_start"))
+
+
+def _per_doc(name: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = native.extract(_docs(spark, sf_dir), name)
+        return hits.groupBy("doc_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.sort_array(F.collect_list("match")), "|")).alias("matches_md5"))
+
+    return query
+
+
+def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = native.extract(_table(spark, sf_dir, "pages"), "entity", "html", "page_id")
+    return hits.groupBy(F.col("match").alias("entity")).agg(F.count("*").alias("n"))
+
+
+def escaped_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(escape_xml(F.col("text"))).alias("text_md5"))
+
+
+def sentences_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = F.filter(F.split("text", r"[.!?]+"), lambda x: F.btrim(x, F.lit(" \t\n\r\f")) != "")
+    return _docs(spark, sf_dir).select("doc_id", F.size(parts).cast("long").alias("n_sentences"))
+
+
+def controls_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.md5(native.strip_invisible(native.strip_controls(F.col("text")))).alias("text_md5"))
+
+
+def abbreviation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = native.members(native.extract(_docs(spark, sf_dir), "bare_dot_word"), lexicons.ABBREVIATIONS["en"])
+    return hits.groupBy(F.lower("match").alias("abbreviation")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+def _spelled() -> Column:
+    return F.coalesce("original_spelling", "text")
+
+
+def tokens_conserve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The characters of each document's tokens, without white space: none is lost or made up."""
+    parts = F.sort_array(F.collect_list(F.struct("par_no", "tok_no", _spelled().alias("x"))))
+    whole = F.regexp_replace(F.array_join(F.transform(parts, lambda x: x["x"]), ""), r"[ \t\n\r\f]+", "")
+    tokens = _tokens(spark, sf_dir, Options(split_sentences=False), separator="single_newlines")
+    return tokens.groupBy("doc_id").agg(F.md5(whole).alias("chars_md5"))
+
+
+def tokens_detokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each document put together from its tokens and the spaces after them."""
+    return _tokens(spark, sf_dir, Options(split_sentences=False)).groupBy("doc_id").agg(F.md5(detokenized()).alias("text_md5"))
+
+
+def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the tokens whose place in the text holds something else."""
+    tokens = _tokens(spark, sf_dir, Options(split_sentences=False, character_offsets=True), separator="single_newlines")
+    both = tokens.select("doc_id", "char_start", "char_end", _spelled().alias("x")).join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
+    wrong = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("x")
+    return both.groupBy("doc_id").agg(F.count_if(wrong).alias("n_wrong"))
+
+
+def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each document and their lengths in tokens."""
+    per = _tokens(spark, sf_dir).groupBy("doc_id", "sent_no").agg(F.count("*").alias("n"))
+    return per.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max("n").alias("longest"), F.sum("n").alias("n_tokens"))
+
+
+def benchmark_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return sentence_texts(tokenize_text(items, Options("en_PTB")))
+
+
+def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline tokenizer scored against the cascade, over the benchmark items."""
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    gold = tokenize_text(items, Options("en_PTB", split_sentences=False))
+    side = lambda t, no: t.select(F.col("doc_id").alias("file"), F.col(no).alias("line_no"), F.col("token"))
+    g = evaluate.characters(side(gold.withColumnRenamed("text", "token"), "tok_no"))
+    s = evaluate.characters(side(evaluate.baseline(items), "tok_no"))
+    return evaluate.scores(evaluate.aligned(g, s))
+
+
+def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, sentences and markup of the pages, parsed permissively, without scripts and styles."""
+    pages = _spread(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("xml")))
+    t = tokenize_xml(pages, Options("en_PTB"), EOS_TAGS, prune_tags=["script", "style"], html=True)
+    return t.groupBy("doc_id").agg(F.count_if(F.col("markup")).alias("n_tags"), F.count_if(~F.col("markup")).alias("n_tokens"), F.count_distinct("sent_no").alias("n_sentences"))
+
+
+def role_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the conversations by role."""
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "role", "conv_id", "turn").alias("doc_id"), "text")
+    t = tokenize_text(_spread(turns), Options("en_PTB", split_sentences=False))
+    return t.groupBy(F.substring_index("doc_id", ":", 1).alias("role")).agg(F.count("*").alias("n_tokens"))
+
+
+def camel_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each class in German documents with camel case split."""
+    docs = _spread(_docs(spark, sf_dir).filter("lang = 'de'"))
+    return tokenize_text(docs, Options("de_CMC", split_camel_case=True, split_sentences=False)).groupBy("token_class").agg(F.count("*").alias("n_tokens"))
+
+
+_UNITS = [(1, 0, 0, True), (1, 0, 1, False), (1, 1, 0, False), (1, 2, 0, True), (2, 0, 0, False), (2, 1, 0, True), (2, 1, 1, True), (2, 2, 0, False), (3, 0, 0, False)]
+
+
+def merged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty sentences merged into their neighbours, on a fixed table of unit sentences of two tokens each."""
+    units = spark.createDataFrame(_UNITS, "doc_id int, par_no int, unit_sent int, real boolean")
+    rows = units.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    rows = rows.select("doc_id", "par_no", "unit_sent", (F.col("unit_sent") * 2 + F.col("k")).alias("tok_no"), (F.col("real") & (F.col("k") == 0)).alias("first_in_sentence"))
+    return merge_empty_sentences(rows).select("doc_id", "par_no", "tok_no", "sent_no")
+
+
+QUERIES = {
+    "token_classes": token_classes,
+    "spaces_md5": spaces_md5,
+    "baseline_tokens": baseline_tokens,
+    "line_paragraphs": line_paragraphs,
+    "block_paragraphs": block_paragraphs,
+    "question_exclamation_runs": _per_doc("question_exclamation"),
+    "email_hits": _per_doc("email"),
+    "number_runs": _per_doc("number"),
+    "word_runs": _per_doc("word"),
+    "ellipsis_runs": _per_doc("ellipsis"),
+    "page_entities": page_entities,
+    "escaped_md5": escaped_md5,
+    "sentences_naive": sentences_naive,
+    "controls_stripped": controls_stripped,
+    "abbreviation_candidates": abbreviation_candidates,
+    "tokens_conserve_text": tokens_conserve_text,
+    "tokens_detokenized": tokens_detokenized,
+    "token_offsets": token_offsets,
+    "sentence_stats": sentence_stats,
+    "benchmark_sentences": benchmark_sentences,
+    "baseline_scores": baseline_scores,
+    "page_text": page_text,
+    "role_tokens": role_tokens,
+    "camel_case": camel_case,
+    "merged_sentences": merged_sentences,
+}
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
+
+
+def _runs_sql(pattern: str) -> str:
+    return f"""SELECT doc_id, count(*) AS n, md5(string_agg(m, '|' ORDER BY m)) AS matches_md5
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS m FROM documents) GROUP BY doc_id"""
+
+
+_KNOWN_SQL = "lang IN ('de', 'en')"
+_BLANK = r"'^[ \t\n\r\f]*$'"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    words = ", ".join(f"('{a}')" for a in sorted(set(lexicons.ABBREVIATIONS["en"])))
+    units = ", ".join(f"({d}, {p}, {u}, {str(r).lower()})" for d, p, u, r in _UNITS)
+    lines = """l AS (SELECT doc_id, i - 1 AS line_no, parts[i] || CASE WHEN i < len(parts) THEN chr(10) ELSE '' END AS line
+        FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM d)) WHERE NOT (i = len(parts) AND parts[i] = ''))"""
+    return {
+        "spaces_md5": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS text_md5 FROM documents",
+        "baseline_tokens": r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS tok_no, t[i] AS token FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (
+            SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?,;:+*()"''–])', ' \1 ', 'g'), '[ \t\n\r\f]+'), lambda x: x <> '') AS t FROM documents))""",
+        "line_paragraphs": f"""WITH d AS (SELECT doc_id, text FROM documents), {lines},
+            p AS (SELECT *, CAST(coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS par_start FROM l)
+            SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INTEGER) AS par_no, par_start, md5(line) AS par_md5 FROM p WHERE NOT regexp_matches(line, {_BLANK})""",
+        "block_paragraphs": f"""WITH d AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id), {lines},
+            p AS (SELECT *, sum(length(line)) OVER w AS begin_at, sum(CASE WHEN regexp_matches(line, {_BLANK}) THEN 1 ELSE 0 END) OVER w AS par FROM l
+                WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+            g AS (SELECT doc_id, coalesce(par, 0) AS par, CAST(min(coalesce(begin_at, 0)) AS BIGINT) AS start FROM p GROUP BY ALL)
+            SELECT doc_id, count(*) AS n_paragraphs, max(start) AS last_start FROM g GROUP BY doc_id""",
+        "question_exclamation_runs": _runs_sql("[!?]+"),
+        "email_hits": _runs_sql(r"[\p{L}\p{N}_.%+-]+@[\p{L}\p{N}_.-]+\.\p{L}{2,}"),
+        "number_runs": _runs_sql("[0-9]+"),
+        "word_runs": _runs_sql(_WORD_RUN),
+        "ellipsis_runs": _runs_sql(r"\.{2,}|…+(?:\.{2,})?"),
+        "page_entities": r"""SELECT m AS entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '&(?:quot|amp|apos|lt|gt|#[0-9]+|#x[0-9a-fA-F]+);')) AS m FROM pages) GROUP BY m""",
+        "escaped_md5": "SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS text_md5 FROM documents",
+        "sentences_naive": r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda x: regexp_replace(x, '[ \t\n\r\f]', '', 'g') <> '')) AS BIGINT) AS n_sentences FROM documents""",
+        "controls_stripped": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), '[\x{AD}\x{61C}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}]', '', 'g')) AS text_md5 FROM documents""",
+        "abbreviation_candidates": rf"""SELECT lower(m) AS abbreviation, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{{L}}+\.')) AS m FROM documents)
+            WHERE lower(m) IN (SELECT * FROM (VALUES {words})) GROUP BY lower(m)""",
+        "tokens_conserve_text": rf"SELECT doc_id, md5(regexp_replace(text, '[ \t\n\r\f]+', '', 'g')) AS chars_md5 FROM documents WHERE {_KNOWN_SQL}",
+        "tokens_detokenized": rf"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS text_md5 FROM documents WHERE {_KNOWN_SQL}",
+        "token_offsets": f"SELECT doc_id, CAST(0 AS BIGINT) AS n_wrong FROM documents WHERE {_KNOWN_SQL}",
+        "merged_sentences": f"""WITH u(doc_id, par_no, unit_sent, real) AS (VALUES {units}),
+            n AS (SELECT *, greatest(sum(CASE WHEN real THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY par_no, unit_sent) - 1, 0) AS s FROM u)
+            SELECT doc_id, par_no, CAST(unit_sent * 2 + k AS INTEGER) AS tok_no, CAST(s AS INTEGER) AS sent_no FROM n, (VALUES (0), (1)) AS t(k)""",
+    }
