@@ -7,11 +7,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.cascade import Options, Piece, segment_text
 from ..operators.engine import sentences, text_units
 from ..operators.sentences import mark_sentences, sentence_numbers
 
+_WORDS = T.ArrayType(T.StringType())
+_ROW = T.StructType([T.StructField("sent_no", T.IntegerType()), T.StructField("tok_no", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in ("token", "token_class", "extra_info"))])
 _options: dict[str, Options] = {}
 
 
@@ -21,7 +24,7 @@ def options_for(language: str) -> Options:
     return _options[language]
 
 
-@F.udtf(returnType="sent_no int, tok_no int, token string, token_class string, extra_info string")
+@F.udtf(returnType=_ROW)
 class TokenizeText:
     """``SELECT … FROM docs, LATERAL segmill_tokenize(text, 'de')``."""
 
@@ -36,13 +39,13 @@ class TokenizeText:
                 i += 1
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_WORDS)
 def tokens_de(texts: pd.Series) -> pd.Series:
     """German tokens of a text."""
     return texts.map(lambda t: None if t is None else [p.text for p in segment_text(t, options_for("de"))])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_WORDS)
 def tokens_en(texts: pd.Series) -> pd.Series:
     """English tokens of a text."""
     return texts.map(lambda t: None if t is None else [p.text for p in segment_text(t, options_for("en"))])
@@ -89,7 +92,7 @@ def split_tokens(tokens: list[str], language: str = "de_CMC", eos_tags=None) ->
 
 
 def _splitter(language: str):
-    @F.pandas_udf("array<array<string>>")
+    @F.pandas_udf(T.ArrayType(_WORDS))
     def split(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for tokens in column:
             yield tokens.map(lambda x: None if x is None else split_tokens(list(x), language))
