@@ -19,11 +19,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: Fixed value: the public pattern that cuts texts into words for this vocabulary.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text in work at a time, and distinct words a worker remembers.
-CHUNK = 2_000_000
-REMEMBERED = 300_000
+CHUNK = 1_000_000
+REMEMBERED = 150_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -185,6 +187,7 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, text: str = "tex
                 made = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids.astype(np.int64)))
                 part = batch.slice(s.start, s.stop - s.start)
                 yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*names, into])
+        settle()
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
@@ -210,6 +213,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame
                 of_ids += [sha(data[a:b]) for a, b in zip(ends, ends[1:])]
                 of_text += [sha(t.encode()) for t in vocab.decode(ids, sizes)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        settle()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return source.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -10,6 +10,7 @@ algorithm gives the least edit distance of the item to any substring.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,12 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import settle
+
 #: Edits for each character of an item.
 RATE = 0.08
 #: Items with fewer normalised characters are no evidence and are not searched.
 MIN_CHARS = 32
 #: Characters of items searched at a time; a larger benchmark is searched in blocks.
 BLOCK_CHARS = 4_000_000
+#: Rows in work at a time.
+SLICE = 500
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -119,16 +124,17 @@ class Searcher:
 _searchers: dict = {}
 
 
-def _searcher(shared, rate: float) -> Searcher:
-    """The searcher of a broadcast, built once in a worker."""
-    if (key := (shared.id if hasattr(shared, "id") else id(shared), rate)) not in _searchers:
+def _searcher(block: tuple, rate: float) -> Searcher:
+    """The searcher of a block of items, built once in a worker; blocks are told apart by a name of their own."""
+    name, shared = block
+    if (name, rate) not in _searchers:
         _searchers.clear()
-        _searchers[key] = Searcher(shared.value, rate)
-    return _searchers[key]
+        _searchers[name, rate] = Searcher(shared.value, rate)
+    return _searchers[name, rate]
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list:
-    """Broadcasts of the distinct normalised items, each of about ``block_chars`` characters at most."""
+def _blocks(benchmark: DataFrame, block_chars: int) -> list[tuple]:
+    """(name, broadcast) of blocks of the distinct normalised items, each of about ``block_chars`` characters at most."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -137,7 +143,7 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> list:
     for b in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
         mine = sorted({(r.item_id, t) for r in rows if len(t := normal(r.text)) >= MIN_CHARS}, key=str)
-        out.append(spark.sparkContext.broadcast(mine))
+        out.append((uuid.uuid4().hex, spark.sparkContext.broadcast(mine)))
     return out
 
 
@@ -151,10 +157,10 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bl
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = []
-    for shared in _blocks(benchmark, block_chars):
+    for block in _blocks(benchmark, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = _searcher(shared, rate)
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            search = _searcher(block, rate)
             for batch in batches:
                 hits = [(d, i, n) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for i, n in search.search(t)]
                 yield pa.RecordBatch.from_arrays([pa.array([h[j] for h in hits], pa.int64()) for j in range(3)], names=["doc_id", "item_id", "distance"])
@@ -169,12 +175,14 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bl
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item within its error budget, columns unchanged; no shuffle."""
     out, where, schema = docs, docs.columns.index("text"), docs.schema
-    for shared in _blocks(benchmark, block_chars):
+    for block in _blocks(benchmark, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = _searcher(shared, rate)
+        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            search = _searcher(block, rate)
             for batch in batches:
-                yield batch.filter(pa.array([not search.search(t) for t in batch.column(where).to_pylist()], pa.bool_()))
+                for part in (batch.slice(i, SLICE) for i in range(0, batch.num_rows, SLICE)):
+                    yield part.filter(pa.array([not search.search(t) for t in part.column(where).to_pylist()], pa.bool_()))
+            settle()
 
         out = out.mapInArrow(run, schema)
     return out

@@ -10,9 +10,11 @@ offset. Readers map the files into memory.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,15 @@ from .shared import new_path, open_store, write_once
 
 END = 2
 #: Distinct strings whose ids a worker remembers, and characters in work at a time.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 CHUNK = 4_000_000
 #: Documents are read back in runs of about so many ids.
 READ_IDS = 4_000_000
+_CUT = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+_PLAIN = re.compile(r"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+").fullmatch
+#: Latin letters, but for the one whose lower case is two characters.
+_WORD_AND_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-;=-@\[-`{-~]+)").fullmatch
+_SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
 def default_vocabulary() -> str:
@@ -38,12 +45,24 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Index(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        number = self[key] = len(self)
+        return number
+
+
 class Encoder:
-    """The tokenizers library's encoding of whole texts, each distinct run between white space encoded once.
+    """The tokenizers library's encoding of whole texts, with each distinct piece encoded once.
 
     This tokenizer drops white space and never forms a token across it, so a text's ids
-    are those of its runs in order. ``str.split`` also splits at U+001C to U+001F, which
-    the tokenizer keeps; texts with those are encoded as they are.
+    are those of its runs in order. A run of ASCII is cut further where the tokenizer
+    itself cuts: into letters, single digits and the rest, and a Latin word from the
+    ASCII marks after it; runs with anything else, an apostrophe or the start of a
+    special token go to the library as they are.
+    ``str.split`` also splits at U+001C to U+001F, which the tokenizer keeps; texts with
+    those go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -56,25 +75,54 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Start the stores of known runs and pieces anew."""
+        self.runs, self.pieces = Index(), Index()
+        self.run_ids = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.piece_ids = self.run_ids
+
+    @staticmethod
+    def _added(store: tuple, ids: np.ndarray, size: np.ndarray) -> tuple:
+        flat, start, sizes = store
+        return np.concatenate([flat, ids]), np.concatenate([start, len(flat) + np.cumsum(size) - size]), np.concatenate([sizes, size])
+
+    @staticmethod
+    def _gather(store: tuple, codes: np.ndarray, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all codes one after the other, and how many each group of ``counts`` codes has."""
+        flat, start, sizes = store
+        size = sizes[codes]
+        ends = np.append(0, np.cumsum(size))[np.append(0, np.cumsum(counts)).astype(np.int64)]
+        return pick(flat, start[codes], size), np.diff(ends)
+
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        """The library's ids of each piece. One of plain lower-case ASCII is a word to its model already and skips the rest."""
+        merge = self.tokenizer.model.tokenize
+        ids = [[t.id for t in merge(p)] if _PLAIN(p) else None for p in pieces]
+        others = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(others, self.tokenizer.encode_batch_fast([pieces[i] for i in others], add_special_tokens=False)):
+            ids[i] = e.ids
+        return ids
+
+    def _learn(self, known: int) -> None:
+        """Encode the runs from number ``known`` on."""
+        cut, tail, seen = _CUT.findall, _WORD_AND_TAIL, len(self.pieces)
+        plain = lambda w: w.isascii() and "'" not in w and "<|" not in w
+        parts = [cut(w.lower()) if plain(w) else m.groups() if (m := tail(w)) else (w,) for w in list(self.runs)[known:]]
+        codes = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(parts)), np.int64)
+        if len(self.pieces) > seen:
+            ids = self._encoded(list(self.pieces)[seen:])
+            self.piece_ids = self._added(self.piece_ids, np.fromiter(chain.from_iterable(ids), np.uint32), np.array([len(x) for x in ids], np.int64))
+        self.run_ids = self._added(self.run_ids, *self._gather(self.piece_ids, codes, [len(p) for p in parts]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
-        if len(self.index) > REMEMBERED:
+        if max(len(self.runs), len(self.pieces)) > REMEMBERED:
             self.forget()
-        known, code = len(self.index), self.index.setdefault
-        parts = [[t] if any("\x1c" <= c <= "\x1f" for c in set(t)) else t.split() for t in texts]
-        codes = np.fromiter((code(w, len(self.index)) for ws in parts for w in ws), np.int64)
-        if len(self.index) > known:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(self.index)[known:], add_special_tokens=False)]
-            size = np.array([len(x) for x in ids], np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32)])
-        sizes = self.size[codes]
-        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum([len(ws) for ws in parts])).astype(np.int64)]
-        return pick(self.flat, self.start[codes], sizes), np.diff(ends)
+        known = len(self.runs)
+        parts = [(t,) if _SEPARATORS.search(t) else t.split() for t in texts]
+        codes = np.fromiter(map(self.runs.__getitem__, chain.from_iterable(parts)), np.int64)
+        if len(self.runs) > known:
+            self._learn(known)
+        return self._gather(self.run_ids, codes, [len(p) for p in parts])
 
 
 @lru_cache(1)

@@ -69,7 +69,7 @@ class Forest:
 
     def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 9, least: int = 3, seed: int = 7):
         rng = np.random.default_rng(seed)
-        tried = max(1, round(x.shape[1] ** 0.5) + 1)
+        tried = max(1, round(x.shape[-1] ** 0.5) + 1)
         self.trees = [_grow(x, y.astype(np.int64), rng, depth, least, tried) for _ in range(trees)] if len(y) else []
 
     def score(self, x: np.ndarray) -> np.ndarray:

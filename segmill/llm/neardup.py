@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stash
+from .shared import settle, stash
 from .shingles import mixed, shingle_sets
 
 BUCKETS = 128
@@ -36,7 +36,9 @@ MANTISSA = 10
 EMPTY = 0xFFFF
 PERCENT = 75
 #: Rows of a block in which partners are searched; two blocks meet in one task.
-BLOCK = 1500
+BLOCK = 600
+#: Rows with texts in work at a time.
+SLICE = 500
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -101,8 +103,15 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time: what is worked out of a text takes several times its memory."""
     for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _small(batches):
         sets = shingle_sets(batch.column("text").to_pylist())
         regs = registers(sets)
         yield pa.RecordBatch.from_arrays(
@@ -115,6 +124,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["doc_id", "n_shingles", "digest", "regs", "bands"],
         )
+    settle()
 
 
 def _estimate(percent: int):
@@ -131,13 +141,14 @@ def _estimate(percent: int):
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             hubs = batch.column("hub").to_pylist()
             at = {h: i for i, h in enumerate(hubs)}
             texts = batch.column("hub_text")
             of = dict(zip(at, shingle_sets([texts[i].as_py() for i in at.values()])))
             sets = shingle_sets(batch.column("text").to_pylist())
             yield batch.select(["id", "hub"]).filter(pa.array([alike(s, of[h], percent) for s, h in zip(sets, hubs)], pa.bool_()))
+        settle()
 
     return run
 

@@ -221,7 +221,7 @@ class Judge:
     def __init__(self, rows: list[tuple[str, str, int]], **how):
         self.features = Features([t for t, _, y in rows if not y])
         known = [(t, p, c[0], y) for t, p, y in rows if (c := candidates(t))]
-        x = np.array([self.features.row(t, p, c) for t, p, c, _ in known]).reshape(len(known), -1)
+        x = np.array([self.features.row(t, p, c) for t, p, c, _ in known])
         self.forest = Forest(x, np.array([y for *_, y in known]), **how)
 
     def scores(self, text: str, path: str | None, found: list[Candidate]) -> np.ndarray:

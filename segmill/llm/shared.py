@@ -47,6 +47,21 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def settle() -> None:
+    """Hand memory that a task no longer uses back to the system: workers live on between tasks, beside a JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def write_once(uri: str, chunks) -> None:
     """Write a file under a name of this attempt and rename it, so a repeated task leaves one whole file."""
     store, path = open_store(uri)

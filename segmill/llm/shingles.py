@@ -10,7 +10,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Texts are hashed together up to this many bytes.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 

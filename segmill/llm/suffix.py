@@ -84,35 +84,36 @@ def _induce_names(text: np.ndarray, kind: np.ndarray, lms: np.ndarray) -> np.nda
     counts = np.bincount(text)
     ends = np.cumsum(counts)
     n = len(text)
-    array = np.full(n, -1, np.int64)
+    array = np.full(n, n, np.int64)  # n stands for an empty entry
     symbols = text[lms]
     order = np.argsort(symbols, kind="stable")
     spots = lms[order]
-    first = np.flatnonzero(np.append(True, np.diff(symbols[order]) != 0)) if len(spots) else np.zeros(0, np.int64)
-    size = np.diff(np.append(first, len(spots)))
-    rank = np.arange(len(spots)) - np.repeat(first, size)
-    array[ends[text[spots]] - np.repeat(size, size) + rank] = spots
-    sa, t, s = array.tolist(), text.tolist(), kind.tolist()
-    heads = (ends - counts).tolist()
-    sa_get = sa.__getitem__
-    j = n - 1
-    c = t[j]
-    sa[heads[c]] = j
+    if len(spots):
+        first = np.flatnonzero(np.append(True, np.diff(symbols[order]) != 0))
+        size = np.diff(np.append(first, len(spots)))
+        rank = np.arange(len(spots)) - np.repeat(first, size)
+        array[ends[text[spots]] - np.repeat(size, size) + rank] = spots
+    # For each entry the bucket that it induces into, or -1: of the suffix to its left, by that one's kind.
+    left = np.append(-1, text[:-1])
+    larger = np.append(np.where(np.append(True, kind[:-1]), -1, left), -1).tolist()
+    less = np.append(np.where(np.append(False, kind[:-1]), left, -1), -1).tolist()
+    sa = array.tolist()
+    heads, tails = (ends - counts).tolist(), ends.tolist()
+    c = int(text[-1])
+    sa[heads[c]] = n - 1
     heads[c] += 1
-    for i in range(n):
-        j = sa_get(i)
-        if j > 0 and not s[j - 1]:
-            c = t[j - 1]
-            sa[heads[c]] = j - 1
-            heads[c] += 1
-    # The leftmost-S entries go, so that the scan back puts every S suffix anew.
-    tails = ends.tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa_get(i)
-        if j > 0 and s[j - 1]:
-            c = t[j - 1]
-            tails[c] -= 1
-            sa[tails[c]] = j - 1
+    for j in sa:  # entries appear ahead of the scan
+        c = larger[j]
+        if c >= 0:
+            h = heads[c]
+            sa[h] = j - 1
+            heads[c] = h + 1
+    # The scan back puts every S suffix anew, the leftmost ones too.
+    for j in reversed(sa):
+        c = less[j]
+        if c >= 0:
+            h = tails[c] = tails[c] - 1
+            sa[h] = j - 1
     return np.array(sa, np.int64)
 
 

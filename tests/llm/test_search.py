@@ -1,0 +1,167 @@
+"""Decontamination, secret scan, ZIP packages."""
+
+import base64
+import hashlib
+import io
+import random
+import struct
+import zipfile
+
+import pytest
+
+from segmill.llm import decontaminate as D
+from segmill.llm import secrets as S
+from segmill.llm import warc
+from segmill.llm.zipread import BadPackage, Package
+
+
+def distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        new = [i]
+        for j, x in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != x), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_myers():
+    r = random.Random(1)
+    for _ in range(400):
+        p, t = "".join(r.choices("abc", k=r.randint(1, 20))), "".join(r.choices("abc", k=r.randint(0, 40)))
+        assert D.least_distance(p, t) == distance(p, t)
+    p, t = "".join(r.choices("ab", k=150)), "".join(r.choices("ab", k=200))
+    assert D.least_distance(p, t) == distance(p, t)
+
+
+def edited(r, text, n):
+    for _ in range(n):
+        i = r.randrange(len(text))
+        text = text[:i] + r.choice(["", "x", text[i] + "y"]) + text[i + 1 :]
+    return text
+
+
+def leak_rows():
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(r.randint(6, 30))).capitalize() + ".") for i in range(12)] + [(50, None), (51, "zu kurz"), (0, "eine zweite Fassung desselben Eintrags mit anderen Worten")]
+    docs = []
+    for i in range(60):
+        body = [word() for _ in range(40)]
+        if i % 2:
+            item = items[i % 12][1]
+            body.insert(20, edited(r, item, r.randint(0, int(len(item) * 0.12))).upper())
+        docs.append((i, " ".join(body), "x"))
+    return items, docs + [(100, None, "x"), (101, "", "x"), (1, docs[1][1], "x"), (None, docs[3][1], "x")]
+
+
+def brute_leaks(items, docs):
+    want = {}
+    for d, t, *_ in docs:
+        for i, x in items:
+            item = D.normal(x)
+            if x is not None and len(item) >= D.MIN_CHARS and (n := distance(item, D.normal(t))) <= int(len(item) * D.RATE):
+                want[d, i] = min(n, want.get((d, i), n))
+    return want
+
+
+@pytest.mark.parametrize("block", [D.BLOCK_CHARS, 300])
+def test_decontamination(spark, block):
+    items, docs = leak_rows()
+    df, b = spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_leaks(items, docs)
+    assert want and len({d for d, _ in want}) < 32
+    assert {(r.doc_id, r.item_id): r.distance for r in D.contaminations(df, b, block_chars=block).collect()} == want
+    left = D.drop_contaminated(df, b, block_chars=block)
+    assert left.columns == df.columns
+    key = lambda x: (x is None, x)
+    assert sorted((r.doc_id for r in left.collect()), key=key) == sorted((d for d, *_ in docs if not any(k[0] == d for k in want)), key=key)
+    assert D.contaminations(df.limit(0), b).count() == D.contaminations(df, b.limit(0)).count() == 0
+
+
+def test_forest_on_held_out_findings():
+    judge = S.train()
+    right = 0
+    held = S.labelled_findings(800, seed=99)
+    for text, path, label in held:
+        found = S.candidates(text)
+        right += (bool(found) and judge.scores(text, path, found[:1])[0] >= S.THRESHOLD) == bool(label)
+    assert right / len(held) > 0.97
+
+
+def test_scan(spark):
+    key = "AKIA" + "Q7ZPL2MNX8RTVWY4"
+    rows = [(1, f'conf: token = "{"9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c"}" ende', "src/app.py"), (2, f"sie schrieb {key} hin", None), (3, "commit 9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c", "x"), (4, None, None), (5, "", ""), (6, "nur ein Satz = ja", None), (1, "password: hunter", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string")
+    out = S.scan(df, path="path").collect()
+    assert sorted({r.doc_id for r in out}) == [1, 2]
+    hit = next(r for r in out if r.doc_id == 2)
+    assert rows[1][1][hit.start : hit.end] == key and hit.kind == "aws_key" and hit.secret_sha256 == hashlib.sha256(key.encode()).hexdigest()
+    assert S.scan(df.limit(0)).count() == 0
+
+
+def test_trained_from_a_table(spark):
+    rows = S.labelled_findings(400) + [(None, "x", 1)]
+    judge = S.train(spark.createDataFrame(rows, "text string, path string, label int"), rows=300, trees=5)
+    assert len(judge.forest.trees) == 5
+    assert S.Judge([]).scores("a = bcdefghijkl", None, S.candidates("a = bcdefghijkl")).tolist() == [0.0]
+
+
+def package(data):
+    return Package(lambda at, n: data[at : at + n], len(data))
+
+
+def test_zip_reader():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo("a/ä.txt"), b"hello world")
+        z.writestr("packed", b"x" * 999, zipfile.ZIP_DEFLATED)
+        z.comment = b"a PK\x05\x06 comment"
+    p = package(out.getvalue())
+    assert set(p.members) == {"a/ä.txt", "packed"} and p.read("a/ä.txt", 6, 5) == b"world" and p.read("a/ä.txt") == b"hello world"
+    with pytest.raises(BadPackage):
+        p.read("packed")
+    with pytest.raises(BadPackage):
+        p.read("a/ä.txt", 6, 6)
+    for bad in (b"", b"PK", out.getvalue()[:-3]):
+        with pytest.raises(BadPackage):
+            package(bad)
+
+
+def test_zip64():
+    name, body = b"big", b"0123456789"
+    full = 0xFFFFFFFF
+    local = struct.pack("<4sHHHHHIIIHH", b"PK\x03\x04", 45, 0, 0, 0, 0, 0, full, full, 3, 20) + name + struct.pack("<HHQQ", 1, 16, 10, 10) + body
+    entry = struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\x01\x02", 45, 45, 0, 0, 0, 0, 0, full, full, 3, 28, 0, 0, 0, 0, full) + name + struct.pack("<HHQQQ", 1, 24, 10, 10, 0)
+    end64 = struct.pack("<4sQHHIIQQQQ", b"PK\x06\x06", 44, 45, 45, 0, 0, 1, 1, len(entry), len(local))
+    tail = struct.pack("<4sIQI", b"PK\x06\x07", 0, len(local) + len(entry), 1) + struct.pack("<4sHHHHIIH", b"PK\x05\x06", 0, 0, 0xFFFF, 0xFFFF, full, full, 0)
+    p = package(local + entry + end64 + tail)
+    assert p.read("big", 3, 4) == b"3456"
+    with pytest.raises(BadPackage):
+        package(local + entry + tail[20:])
+
+
+def want_records(rows):
+    first, out = {}, []
+    for p, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        b = (h or "").encode()
+        f = first.setdefault(b, p)
+        d = base64.b32encode(hashlib.sha1(b).digest()).decode()
+        out.append((p, len(b), d, *(("response", None) if f == p or f is None else ("revisit", f))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("size,run", [(warc.PACKAGE_BYTES, warc.RUN_RECORDS), (200, 2)])
+def test_warc(spark, size, run):
+    rows = [(i, f"http://x.de/{i} a", random.Random(i % 7).choice(["<p>ä</p>\r\n\r\n", "", None, "y" * 3000, f"<b>{i}</b>"])) for i in range(40)] + [(None, None, "y" * 3000), (7, "u", "<b>7</b>"), (7, "u", "<b>7</b>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    packages = warc.write_packages(df, warc.new_path(spark, "w"), package_bytes=size)
+    got = warc.read_packages(spark, packages, run).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == want_records(rows)
+    assert all(r.html in {h or "" for p, _, h in rows if p == r.page_id} for r in got if r.record_type == "response" and r.page_id is not None)
+    none = warc.read_packages(spark, warc.write_packages(df, warc.new_path(spark, "w"), min_bytes=10**9)).collect()
+    assert {r.record_type for r in none} == {"response"}
+    with pytest.raises(ValueError):
+        warc.parse(warc.record(1, "u", b"abc", None)[:-1])
+    with pytest.raises(ValueError):
+        warc.parse(warc.record(1, "u", b"abc", None).replace(b"abc", b"abd"))
