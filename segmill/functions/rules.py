@@ -10,7 +10,8 @@ A rule claims spans of unlocked text and gives them a token class. Modes:
 - ``abbreviation``, ``emoji``: see the cascade.
 
 ``needs`` names characters of which a text must hold one for the rule to match at all
-("0" stands for any digit); it only saves time.
+("0" stands for any digit), ``word`` a lower-case string that it must hold, and ``hint`` a
+pattern without look at its surroundings that must match in it; they only save time.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ class Rule:
     other: object = None
     join: bool = False
     template: str | None = None
+    hint: object = None
+    word: str = ""
 
 
 def any_of(entries) -> str:
@@ -144,6 +147,44 @@ def _c(pattern: str, fold: bool = False):
     return regex.compile(pattern, regex.IGNORECASE if fold else 0)
 
 
+_URL_START = _c(r"://|www\.", True)
+_DOT_LETTER, _DOT_GLUED, _NR, _ROMAN_DOT = _c(r"\.\p{L}"), _c(r"\.\S|-"), _c(r"nr\.", True), _c(r"[MDCLXVI]\.")
+_SINGLE = _c(r"\.\p{L}|[/;]|\d\p{L}")
+_LETTERS_DOT = _c(r"\p{L}+\.")
+
+
+_LETTERS_DOTTED = _c(r"\p{L}\.\p{L}\.")
+
+
+class AbbreviationHint:
+    """Whether an open piece has letters and dots that can be an abbreviation.
+
+    An abbreviation starts where no letter or dot precedes, so its letters up to the
+    first dot are a whole run of letters in the piece.
+    """
+
+    def __init__(self, entries: tuple[str, ...]):
+        starts = [regex.match(r"\p{L}+\.", e.lower()) for e in entries]
+        self.starts = frozenset(m.group() for m in starts if m) if all(starts) else None
+
+    def search(self, text: str) -> bool:
+        if self.starts is None or _LETTERS_DOTTED.search(text):
+            return True
+        return any(w.lower() in self.starts or not w.isascii() for w in _LETTERS_DOT.findall(text))
+
+
+_abbreviation_hint = lru_cache(maxsize=16)(AbbreviationHint)
+
+
+def _rare_characters(faces, first: str = "") -> str:
+    """Characters of which every face has one: those of ``first`` or else, for each face, one that is rare in prose."""
+    out = set(first)
+    for face in faces:
+        if out.isdisjoint(face):
+            out.add(max(face, key=lambda c: (not c.isascii(), not c.isalnum() and c not in " .,-()", not c.isalnum() and c not in " .")))
+    return "".join(sorted(out))
+
+
 @dataclass(frozen=True)
 class RuleSet:
     """The rules of one configuration: before and after invisible characters are removed."""
@@ -157,7 +198,8 @@ def _contractions() -> list[Rule]:
     for parts in CONTRACTIONS:
         groups = "".join(f"(?P<p{i}>{p})" for i, p in enumerate(parts.split("|"), 1))
         edge = r"(?<!\w)" if parts.startswith("[") else r"\b"
-        out.append(Rule(f"contraction {parts}", "groups", _c(edge + groups + r"\b", True)))
+        apostrophe = "'" in parts
+        out.append(Rule(f"contraction {parts}", "groups", _c(edge + groups + r"\b", True), needs="'’" if apostrophe else "", word="" if apostrophe else parts.replace("|", "")))
     return out
 
 
@@ -174,7 +216,7 @@ def compile_rules(language: str, split_camel_case: bool, lexicon: Lexicon) -> Ru
     early = [
         Rule("A6 xml declaration", "whole", _c(XML_DECLARATION, True), "XML_tag", "<"),
         Rule("A7 xml tag", "whole", _c(XML_TAG, True), "XML_tag", "<"),
-        Rule("A8 textface with space", "whole", _c(any_of(ordered(lexicons.TEXTFACES_WITH_SPACE))), "emoticon", "_ ͜ﾟ⌣ε￣ᕗ◡ʖ▀༽°ᵔ─͟͡๏.□,❍┻├óヮ̿ʞ◇•"),
+        Rule("A8 textface with space", "whole", _c(any_of(ordered(lexicons.TEXTFACES_WITH_SPACE))), "emoticon", _rare_characters(lexicons.TEXTFACES_WITH_SPACE)),
         Rule("A9 flag", "whole", _c(FLAG), "emoticon", "".join(map(chr, range(0x1F1E6, 0x1F200)))),
         Rule("A10 textface with emoji", "whole", _c(any_of(ordered(lexicons.TEXTFACES_WITH_EMOJI))), "emoticon", "♥☼☉☝☞☜♪"),
         Rule("A11 emoji", "emoji", _c(r"\X"), "emoticon"),
@@ -183,16 +225,16 @@ def compile_rules(language: str, split_camel_case: bool, lexicon: Lexicon) -> Ru
         Rule("B1 spaced emoticon", "whole", _c(SPACED_EMOTICON), "emoticon", ":;", template=r"\1\2"),
         Rule("B2 e-mail", "whole", _c(EMAIL), "email_address", "@[", join=True),
         Rule("B3 markdown link", "groups", _c(MARKDOWN_LINK, True), "symbol", "["),
-        Rule("B4 url with parentheses", "whole", _c(URL_WITH_PARENTHESES, True), "URL", "("),
-        Rule("B5 url", "whole", _c(URL, True), "URL", ".:"),
+        Rule("B4 url with parentheses", "whole", _c(URL_WITH_PARENTHESES, True), "URL", "(", hint=_URL_START),
+        Rule("B5 url", "whole", _c(URL, True), "URL", ".:", hint=_URL_START),
         Rule("B6 doi", "whole", _c(DOI, True), "URL", ":"),
         Rule("B7 doi after space", "whole", _c(DOI_AFTER_SPACE, True), "URL", ":"),
-        Rule("B8 bare url", "whole", _c(BARE_URL, True), "URL", "."),
+        Rule("B8 bare url", "whole", _c(BARE_URL, True), "URL", ".", hint=_DOT_LETTER),
         Rule("B9 reddit", "whole", _c(REDDIT, True), "URL", "/"),
         Rule("B10 entity", "whole", _c(ENTITY, True), "XML_entity", "&"),
-        Rule("B11 single token", "whole", _c(rf"(?<![\w.])(?:{singles['token']})(?!\p{{L}})", True), needs="./;345"),
+        Rule("B11 single token", "whole", _c(rf"(?<![\w.])(?:{singles['token']})(?!\p{{L}})", True), needs="./;345", hint=_SINGLE),
         Rule("B12 heart", "whole", _c(HEART), "emoticon", "<^"),
-        Rule("B13 emoticon", "whole", _c(f"(?:{EMOTICON_FACE})|(?:{EMOTICON_REST})|{faces}"), "emoticon"),
+        Rule("B13 emoticon", "whole", _c(f"(?:{EMOTICON_FACE})|(?:{EMOTICON_REST})|{faces}"), "emoticon", _rare_characters([*lexicons.EMOTICONS, *lexicons.TEXTFACES], ":;8XxO")),
         Rule("B14 dingbat", "whole", _c(DINGBAT), "emoticon"),
         Rule("B15 mention", "whole", _c(MENTION), "mention", "@"),
         Rule("B16 hashtags", "inner", _c(HASHTAGS), "hashtag", "#", other=_c(HASHTAG)),
@@ -231,14 +273,14 @@ def compile_rules(language: str, split_camel_case: bool, lexicon: Lexicon) -> Ru
     known = any_of(ordered(lexicon.abbreviations, lower=True))
     late += [
         Rule("D1 measurement", "groups", _c(NO_NUMBER_BEFORE + f"(?:{NUMBER}|{NUMBER_RANGE})[ ]?(?P<unit>{units})" + r"(?!\w)", True), "measurement", "0"),
-        Rule("D2 letter and ellipsis", "groups", _c(LETTER_ELLIPSIS), "abbreviation", "."),
+        Rule("D2 letter and ellipsis", "groups", _c(LETTER_ELLIPSIS), "abbreviation", ".", word="..."),
         Rule("D3 et cetera", "whole", _c(AND_CETERA), "abbreviation", "&"),
-        Rule("D4 street", "whole", _c(STREET, True), "abbreviation", "."),
-        Rule("D5 number", "whole", _c(NUMBERED, True), "abbreviation", "."),
-        Rule("D6 single-token abbreviation", "whole", _c(rf"(?<![\w.])(?:{singles['abbreviation']})(?!\p{{L}})", True), "abbreviation", ".-"),
+        Rule("D4 street", "whole", _c(STREET, True), "abbreviation", ".", word="str."),
+        Rule("D5 number", "whole", _c(NUMBERED, True), "abbreviation", ".", hint=_NR),
+        Rule("D6 single-token abbreviation", "whole", _c(rf"(?<![\w.])(?:{singles['abbreviation']})(?!\p{{L}})", True), "abbreviation", ".-", hint=_DOT_GLUED),
         Rule("D7 letter", "whole", _c(LETTER_ABBREVIATION), "abbreviation", "."),
-        Rule("D8 postscript", "whole", _c(POSTSCRIPT, True), "abbreviation", "."),
-        Rule("D9 abbreviation", "abbreviation", _c(rf"(?<![\p{{L}}.])(?:(?:(?:\p{{L}}\.){{2,}})" + (f"|{known}" if known else "") + r")+(?!\p{L}{1,3}\.)", True), "abbreviation", ".", other=None if en else _c(MULTIPART)),
+        Rule("D8 postscript", "whole", _c(POSTSCRIPT, True), "abbreviation", ".", word="ps."),
+        Rule("D9 abbreviation", "abbreviation", _c(rf"(?<![\p{{L}}.])(?:(?:(?:\p{{L}}\.){{2,}})" + (f"|{known}" if known else "") + r")+(?!\p{L}{1,3}\.)", True), "abbreviation", ".", other=None if en else _c(MULTIPART), hint=_abbreviation_hint(lexicon.abbreviations)),
         Rule("D10 article", "whole", _c(ARTICLE, True), "abbreviation", "0"),
         Rule("E1 isbn", "whole", _c(ISBN, True), "number", "0", join=True),
         Rule("E2 date ymd", dates, _c(DATE_YMD), "date", "0"),
@@ -249,7 +291,7 @@ def compile_rules(language: str, split_camel_case: bool, lexicon: Lexicon) -> Ru
         Rule("E7 time", "whole", _c(TIME), "time", ":"),
         *([Rule("E8 us phone", "whole", _c(US_PHONE), "number", "0"), Rule("E9 us zip", "whole", _c(US_ZIP), "number", "0"), Rule("E10 identifier", "whole", _c(IDENTIFIER), "number", "0")] if en else []),
         Rule("E12 english ordinal", "whole", _c(ENGLISH_ORDINAL), "ordinal", "0") if en else Rule("E11 ordinal", "whole", _c(ORDINAL), "ordinal", "0"),
-        Rule("E13 roman ordinal", "whole", _c(ROMAN_ORDINAL), "ordinal", "."),
+        Rule("E13 roman ordinal", "whole", _c(ROMAN_ORDINAL), "ordinal", ".", hint=_ROMAN_DOT),
         Rule("E14 number range", "groups", _c(NO_NUMBER_BEFORE + NUMBER_RANGE + NO_NUMBER_AFTER), "number", "0"),
         Rule("E15 fraction", "whole", _c(FRACTION), "number", "/"),
         Rule("E16 calculation", "groups", _c(CALCULATION), "number", "0"),

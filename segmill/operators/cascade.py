@@ -128,6 +128,8 @@ def _emoji_spans(rule: Rule, text: str) -> list:
 
 
 def _abbreviation_spans(rule: Rule, text: str) -> list:
+    if rule.hint is not None and not rule.hint.search(text):
+        return []
     found = []
     for m in rule.pattern.finditer(text):
         if rule.other is not None and rule.other.fullmatch(m.group()):
@@ -199,12 +201,22 @@ _SPACES, _CONTROLS, _STRANDED, _INVISIBLE = (regex.compile(p) for p in (R.WHITE_
 
 
 def _pass(pieces: list[Piece], table: tuple[Rule, ...]) -> list[Piece]:
-    seen = {c for p in pieces if not p.markup and not p.locked for c in p.text}
+    """All rules in order, but for those that a look at the text rules out: cutting makes no new text."""
+    text = "\n".join([p.text for p in pieces if not p.markup and not p.locked])
+    seen = set(text)
     if any(c.isdecimal() for c in seen):
         seen.add("0")
+    low = text.lower().replace("ſ", "s")
+    hinted: dict[int, bool] = {}
     for rule in table:
-        if not rule.needs or not seen.isdisjoint(rule.needs):
-            pieces = apply_rule(pieces, rule)
+        if rule.needs and seen.isdisjoint(rule.needs) or rule.word and rule.word not in low:
+            continue
+        if (hint := rule.hint) is not None and rule.mode != "abbreviation":
+            if id(hint) not in hinted:
+                hinted[id(hint)] = bool(hint.search(text))
+            if not hinted[id(hint)]:
+                continue
+        pieces = apply_rule(pieces, rule)
     return pieces
 
 

@@ -130,3 +130,26 @@ def test_own_lexicon(tmp_path):
     own = Options("de", lexicon_folder=str(tmp_path))
     assert words("Der Xyz. ging bzw. lief", own) == "Der Xyz. ging bzw . lief"
     assert isinstance(own.lexicon, Lexicon) and own.lexicon.abbreviations == ("Xyz.",)
+
+
+def test_guards_change_nothing(monkeypatch):
+    """Rules that a look at the text rules out would not have matched."""
+    import random
+
+    from segmill.functions import lexicons
+    from segmill.operators import cascade
+
+    r = random.Random(6)
+    stock = [t for t, _ in GERMAN + ENGLISH] + lexicons.EMOTICONS + lexicons.TEXTFACES + lexicons.TEXTFACES_WITH_SPACE + lexicons.TEXTFACES_WITH_EMOJI
+    stock += lexicons.ABBREVIATIONS["de"][:40] + lexicons.PLUS_AMPERSAND + ["Unter der Brücke steht ein Hund.", "Caſt's no. 5", "DON'T im HES", "S-Bahnhofſtr. Pſ. "]
+    texts = stock + [r.choice([" ", "", "."]).join(r.choices(stock, k=r.randint(2, 5))) for _ in range(400)]
+    plain = lambda t, o: [(p.text, p.token_class, p.space_after) for p in segment_text(t, o)]
+    with_guards = [plain(t, o) for t in texts for o in (DE, EN)]
+
+    def every_rule(pieces, table):
+        for rule in table:
+            pieces = apply_rule(pieces, rule)
+        return pieces
+
+    monkeypatch.setattr(cascade, "_pass", every_rule)
+    assert [plain(t, o) for t in texts for o in (DE, EN)] == with_guards
