@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import settle, stash
+from .shared import settle, stash, tidy
 from .shingles import mixed, shingle_sets
 
 BUCKETS = 128
@@ -251,9 +251,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK)
     near = stash(tried.join(sketch, "id").join(hubs, "hub").mapInArrow(_estimate(percent), "id long, hub long"), "near").distinct()
     ids = tried.select("id").unionByName(tried.select(F.col("hub").alias("id"))).distinct()
     needed = stash(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "needed")
+    tidy(docs.sparkSession)
     hub_texts = needed.select(F.col("id").alias("hub"), F.col("text").alias("hub_text"))
     links = near.join(needed, "id").join(hub_texts, "hub").mapInArrow(_confirm(percent), "id long, hub long")
     first = stash(components(links.select(F.col("id").alias("u"), F.col("hub").alias("v"))), "first")
+    tidy(docs.sparkSession)
 
     # Buckets that still hold several components. All pairs with a bucket's hub have been tried, so it stays out.
     named = bands.join(first, bands["id"] == first["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -284,6 +286,6 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     names = docs.columns
     gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     row = docs.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    left = row.join(gone, F.col("__id") == F.col("__gone"), "left_anti")
+    left = row.join(gone.hint("merge"), F.col("__id") == F.col("__gone"), "left_anti")
     kept = left.filter("__id is not null").groupBy("__id").agg(F.first("row").alias("row")).select("row").unionByName(left.filter("__id is null").select("row"))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in names])

@@ -26,6 +26,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 ALPHA = 0.02
 DELTA = 0.1
+#: Strata whose cutoffs are written into the expression that applies them.
+MAX_STRATA = 64
 #: Cutoffs by rule, most lenient first.
 GRIDS = {
     "symbol_share": [0.9, 0.7, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06],
@@ -141,7 +143,8 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def fit_cutoffs(scored: DataFrame, labels: DataFrame, grids: dict[str, list[float]] | None = None, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, rule, cutoff) for each stratum and rule that has a certified cutoff worth using.
 
-    ``scored``: doc_id, stratum and a struct ``quality``; ``labels``: doc_id, quality
+    ``scored``: doc_id, stratum and a struct ``quality``, best from a written table, since
+    Catalyst works the counts out again for each use of them; ``labels``: doc_id, quality
     (1 good, 0 bad). All labelled documents count; rows with a null label, id or no
     partner are left out. Documents that fail the base rules are outside the guarantee,
     which is about the cutoffs. Labels that repeat for a document count once, as the
@@ -173,15 +176,24 @@ def fit_cutoffs(scored: DataFrame, labels: DataFrame, grids: dict[str, list[floa
 def verdict(scored: DataFrame, cutoffs: DataFrame, grids: dict[str, list[float]] | None = None) -> DataFrame:
     """``scored`` with a boolean ``kept``: the base rules hold and no certified cutoff of the stratum is exceeded.
 
-    There are at most as many cutoffs as strata times rules; they are gathered into one
-    row a stratum, joined null-safely, by broadcast only if Spark finds them small.
+    Up to ``MAX_STRATA`` strata their cutoffs become part of the expression, so the rows
+    don't move; more of them are joined, which deals the rows by stratum.
     """
     grids = grids or GRIDS
+    found = cutoffs.limit(MAX_STRATA * len(grids) + 1).collect()
+    if len(found) <= MAX_STRATA * len(grids):
+        out, over = scored, F.lit(False)
+        for rule in grids:
+            mine = {c.stratum: c.cutoff for c in found if c.rule == rule}
+            for stratum, cutoff in sorted(mine.items(), key=lambda x: (x[0] is None, x[0] or "")):
+                same = F.col("stratum").isNull() if stratum is None else F.coalesce(F.col("stratum") == stratum, F.lit(False))
+                over = over | (same & (F.col(f"quality.{rule}") > cutoff))
+        return out.withColumn("kept", ~F.col("quality.base_failed") & ~over)
     per = cutoffs.groupBy(F.col("stratum").alias("cut_stratum")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     out = scored.join(per, scored["stratum"].eqNullSafe(per["cut_stratum"]), "left")
     over = F.lit(False)
-    for r in grids:
-        over = over | F.coalesce(F.col(f"quality.{r}") > F.try_element_at("cuts", F.lit(r)), F.lit(False))
+    for rule in grids:
+        over = over | F.coalesce(F.col(f"quality.{rule}") > F.try_element_at("cuts", F.lit(rule)), F.lit(False))
     return out.withColumn("kept", ~F.col("quality.base_failed") & ~over).drop("cut_stratum", "cuts")
 
 

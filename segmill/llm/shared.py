@@ -31,6 +31,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: only then do the shuffle files of finished steps leave the disks."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a path of the shared folder that no later read needs."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

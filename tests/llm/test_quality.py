@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmill.llm import queries, quality, sql
+from segmill.llm.shared import stash
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,13 +61,16 @@ def judged(spark):
 def test_cutoffs_are_certified(spark, judged):
     docs, labels = judged
     how = {"alpha": 0.1, "delta": 0.2}
-    cuts = None
-    scored = quality.features(docs.select("doc_id", F.col("lang").alias("stratum"), "text"))
+    scored = stash(quality.features(docs.select("doc_id", F.col("lang").alias("stratum"), "text")), "scored")
     cuts = {(c.stratum, c.rule): c.cutoff for c in quality.fit_cutoffs(scored, labels, **how).collect()}
     assert set(cuts) == {("de", "symbol_share"), ("en", "symbol_share")} and all(0.06 <= c < 0.5 for c in cuts.values())
     kept = {r.doc_id: r.kept for r in quality.assess(docs, labels, **how).collect()}
     assert all(kept[i] == (i % 5 != 0) for i in range(900))
     assert kept[1003] and kept[1002] and not kept[1000] and not kept[1001]
+    many = pytest.MonkeyPatch()
+    many.setattr(quality, "MAX_STRATA", 0)
+    assert kept == {r.doc_id: r.kept for r in quality.assess(docs, labels, **how).collect()}
+    many.undo()
     # No cutoff is certified where labels are few or none, and then only the base rules count.
     few = {r.doc_id: r.kept for r in quality.assess(docs, labels.limit(20), **how).collect()}
     assert few[0] and not few[1000]
