@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ from .forest import Forest
 TRAIN_ROWS = 6000
 #: Findings with a lower score are removed.
 THRESHOLD = 0.5
+#: A value of more characters that is no secret itself is searched for secrets inside.
+LONG = 200
 #: Characters on either side that count as neighbourhood.
 AROUND = 60
 
@@ -32,15 +35,17 @@ AROUND = 60
 FORMATS = {
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "github_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])",
-    "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,72}",
+    "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}(?![A-Za-z0-9-])",
     "google_key": r"(?<![A-Za-z0-9])AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])",
-    "stripe_key": r"(?<![A-Za-z0-9])[rs]k_live_[A-Za-z0-9]{24,99}",
+    "stripe_key": r"(?<![A-Za-z0-9])[rs]k_live_[A-Za-z0-9]{24,}(?![A-Za-z0-9])",
     "json_web_token": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
     "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}-----END (?:[A-Z]+ )?PRIVATE KEY-----",
 }
 _HINTS = ("AKIA", "ASIA", "gh", "xox", "AIza", "k_live_", "eyJ", "-----BEGIN")
-_ASSIGNED = re.compile(r"""[\w-]["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'`,;<>]{8,200})""")
-_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
+_ASSIGNED = re.compile(r"""[\w-]["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'`,;<>]{8,})""")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+#: Parameters and fields within a long value, which end where the next one begins.
+_FIELD = re.compile(r"""[\w-][:=|]([^\s"'`,;<>&?#|:=]{8,}={0,2})""")
 _FORMATS = {k: re.compile(p) for k, p in FORMATS.items()}
 _WORD = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])")
 _SECRET_WORDS = frozenset("access api auth authorization bearer client credential credentials key login passphrase passwd password private pwd secret signing token".split())
@@ -81,13 +86,20 @@ def candidates(text: str) -> list[Candidate]:
     if "=" in text or ":" in text:
         found += [Candidate(m.start(1), m.end(1), "assigned") for m in _ASSIGNED.finditer(text)]
     found += [Candidate(m.start(), m.end(), "run") for m in _RUN.finditer(text)]
+    return _settled(found)
+
+
+def inside(text: str, c: Candidate) -> list[Candidate]:
+    """Candidate spans within a long one, in order: the values of its parameters, and runs; they don't overlap."""
+    found = [Candidate(m.start(1), m.end(1), "assigned") for m in _FIELD.finditer(text, c.start, c.end)]
+    found += [Candidate(m.start(), m.end(), "run") for m in _RUN.finditer(text, c.start, c.end)]
+    return _settled([f for f in found if (f.start, f.end) != (c.start, c.end)])
+
+
+def _settled(found: list[Candidate]) -> list[Candidate]:
     rank = {"assigned": 1, "run": 2}
     out: list[Candidate] = []
-    taken: list[Candidate] = []
-    for c in sorted(found, key=lambda c: (rank.get(c.kind, 0), c.start, -c.end)):
-        taken.append(c)
-    taken.sort(key=lambda c: (c.start, rank.get(c.kind, 0), -c.end))
-    for c in taken:
+    for c in sorted(found, key=lambda c: (c.start, rank.get(c.kind, 0), -c.end)):
         if out and c.start < out[-1].end:
             if rank.get(c.kind, 0) < rank.get(out[-1].kind, 0):
                 out[-1] = c
@@ -100,6 +112,14 @@ def _class(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3
 
 
+_CLASSES = np.array([_class(chr(i)) for i in range(128)], np.uint8)
+_LETTERS = np.array([i - 96 if 97 <= i <= 122 else 0 for i in range(128)], np.uint8)
+
+
+def _looked_up(table: np.ndarray, value: str) -> np.ndarray:
+    return table[np.minimum(np.frombuffer(value.encode("utf-32-le"), "<u4"), 127)]
+
+
 class Features:
     """What the forest sees of a candidate; its bigram table and dictionary come from the training contexts."""
 
@@ -124,12 +144,12 @@ class Features:
     def row(self, text: str, path: str | None, c: Candidate) -> list[float]:
         value = text[c.start : c.end]
         n = len(value)
-        kinds = [_class(x) for x in value]
-        counts = [kinds.count(k) / n for k in range(4)]
-        changes = sum(a != b for a, b in zip(kinds, kinds[1:])) / max(1, n - 1)
-        codes = [ord(x) - 96 if "a" <= x <= "z" else 0 for x in value.lower()]
+        kinds = _looked_up(_CLASSES, value)
+        counts = (np.bincount(kinds, minlength=4) / n).tolist()
+        changes = np.count_nonzero(kinds[1:] != kinds[:-1]) / max(1, n - 1)
+        codes = _looked_up(_LETTERS, value.lower())
         chain = float(np.mean(self.log[codes[:-1], codes[1:]])) if n > 1 else 0.0
-        freq = np.array([value.count(x) for x in set(value)]) / n
+        freq = np.array(list(Counter(value).values())) / n
         entropy = float(-(freq * np.log2(freq)).sum())
         left, right = text[max(0, c.start - AROUND) : c.start].lower(), text[c.end : c.end + AROUND].lower()
         before, after = re.findall(r"[a-z]+[0-9]*", left)[-5:], re.findall(r"[a-z]+[0-9]*", right)[:5]
@@ -142,7 +162,7 @@ class Features:
             chain,
             entropy,
             self.coverage(value),
-            len(set(value)) / n,
+            len(freq) / n,
             float(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) is not None),
             float(re.fullmatch(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value) is not None),
             float("://" in value or value.count("/") > 2),
@@ -215,6 +235,42 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, int
     return out
 
 
+def long_findings(n: int = 600, seed: int = 12) -> list[tuple[str, str, int]]:
+    """Made-up findings like the others with values of over 100 characters, assigned and bare."""
+    r = random.Random(seed)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    some = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
+    words = sorted(_DICTIONARY)
+    filler = lambda k: " ".join(r.choices(words, k=k))
+    quote = lambda v: r.choice(['"{}"', "'{}'", "{}"]).format(v)
+    sign = lambda: r.choice([" = ", "=", ": ", " := ", '": '])
+    size = lambda: round(100 * 20 ** r.random())
+    names = ["aws_session_token", "session_token", "refresh_token", "access_token", "secret", "api_key", "client_secret", "private_key", "auth_token", "credentials"]
+    paths = ["config/prod.env", "app/settings.py", "deploy/values.yaml", "main.go", "notes.txt", "index.html", "web/app.js", ""]
+    out = []
+    for k in range(n):
+        value = some(r.choice([letters, letters + "+/", letters + "-_", "0123456789abcdef"]), size()) + r.choice(["", "", "=", "=="])
+        phrase = "/".join(r.choices(words, k=size() // 7))
+        text = (
+            r.choice([lambda: r.choice(names) + sign() + quote(value), lambda: r.choice(names) + sign() + quote(value), lambda: r.choice(["bearer ", "token ", "key ", ""]) + value])
+            if k % 2
+            else r.choice(
+                [
+                    lambda: f"src{sign()}" + quote("data:image/png;base64," + value),
+                    lambda: r.choice(["image", "integrity", "checksum", "digest", "blob", "fingerprint"]) + sign() + quote(value),
+                    lambda: r.choice(["url", "path", "link"]) + sign() + quote(f"https://{r.choice(words)}.org/{phrase}?page={r.randint(1, 99)}"),
+                    lambda: phrase + str(r.randint(0, 99)),
+                    lambda: r.choice(words) + sign() + quote(phrase.replace("/", r.choice("-_.&"))),
+                    lambda: r.choice("=-_") * size() + str(r.randint(0, 9)),
+                    lambda: some("0123456789", size()),
+                    lambda: r.choice(["path", "url", "link", "next"]) + sign() + quote("https://" + ".".join(r.choices(words, k=2)) + "/" + "&".join(f"{w}={r.choice(words)}{r.randint(0, 9)}" for w in r.choices(words, k=12))),
+                ]
+            )
+        )()
+        out.append((f"{filler(r.randint(0, 12))} {text} {filler(r.randint(0, 12))}", r.choice(paths), k % 2))
+    return out
+
+
 class Judge:
     """Features and forest, trained from (text, path, label) rows; texts without a candidate teach nothing."""
 
@@ -227,11 +283,22 @@ class Judge:
     def scores(self, text: str, path: str | None, found: list[Candidate]) -> np.ndarray:
         return self.forest.score(np.array([self.features.row(text, path, c) for c in found]))
 
+    def secrets(self, text: str, path: str | None, threshold: float) -> list[tuple[Candidate, float]]:
+        """The candidates of a text that score as secrets, with their scores; those inside a long candidate only where it is none."""
+        out = []
+        if found := candidates(text):
+            for c, score in zip(found, self.scores(text, path, found)):
+                if score >= threshold:
+                    out.append((c, float(score)))
+                elif c.end - c.start > LONG and (parts := inside(text, c)):
+                    out += [(p, float(s)) for p, s in zip(parts, self.scores(text, path, parts)) if s >= threshold]
+        return out
+
 
 def train(findings: DataFrame | None = None, rows: int = TRAIN_ROWS, **how) -> Judge:
     """A judge from labelled ``findings`` (text, path, label), of which at most ``rows`` by hash order; without any, from made-up ones."""
     if findings is None:
-        return Judge(labelled_findings(), **how)
+        return Judge(labelled_findings() + long_findings(), **how)
     picked = findings.filter("text is not null and label is not null").select("text", "path", F.col("label").cast("int")).orderBy(F.xxhash64("text", "label")).limit(rows)
     return Judge([(r[0], r[1] or "", r[2]) for r in picked.collect()], **how)
 
@@ -239,8 +306,8 @@ def train(findings: DataFrame | None = None, rows: int = TRAIN_ROWS, **how) -> J
 def scan(docs: DataFrame, judge: Judge | None = None, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, start, end, kind, score and secret_sha256 of each secret in each row of ``docs`` (doc_id, text).
 
-    ``start`` and ``end`` count characters; ``path`` names a column whose value helps to
-    judge. Null and empty texts have no findings, null paths no say; repeated rows give
+    ``start`` and ``end`` count characters, whatever a value's length; ``path`` names a
+    column whose value helps to judge. Null and empty texts have no findings, null paths no say; repeated rows give
     repeated findings. The secret itself is not returned, only its SHA-256.
     """
     spark = docs.sparkSession
@@ -252,12 +319,8 @@ def scan(docs: DataFrame, judge: Judge | None = None, path: str | None = None, t
         for batch in batches:
             out = []
             for doc_id, text, where in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path"))):
-                found = candidates(text or "")
-                if not found:
-                    continue
-                for c, s in zip(found, judge.scores(text, where, found)):
-                    if s >= threshold:
-                        out.append((doc_id, c.start, c.end, c.kind, round(float(s), 6), hashlib.sha256(text[c.start : c.end].encode()).hexdigest()))
+                for c, s in judge.secrets(text or "", where, threshold):
+                    out.append((doc_id, c.start, c.end, c.kind, round(s, 6), hashlib.sha256(text[c.start : c.end].encode()).hexdigest()))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=["doc_id", "start", "end", "kind", "score", "secret_sha256"])
 

@@ -100,6 +100,40 @@ def test_scan(spark):
     assert S.scan(df.limit(0)).count() == 0
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+@pytest.mark.parametrize("n", [201, 360, 1000])
+def test_long_candidates_are_whole(n):
+    r = random.Random(n)
+    value = "".join(r.choices(LETTERS + "+/", k=n - 1)) + "7"
+    plain = "".join(r.choices(LETTERS, k=n - 1)) + "7"
+    for before, secret, kind in (("aws_session_token = ", value, "assigned"), ("nur ", value, "run"), ("nur ", "xoxb-" + plain, "slack_token"), ("nur ", "sk_live_" + plain, "stripe_key")):
+        for q in ('"', "") if kind == "assigned" else ("",):
+            text = f"ein {before}{q}{secret}{q} ende"
+            assert [(text[c.start : c.end], c.kind) for c in S.candidates(text)] == [(secret, kind)]
+
+
+def test_long_secrets_are_found(spark):
+    r = random.Random(5)
+    texts, want = [], []
+    for n in (201, 360, 1000):
+        for before, after in (('aws_session_token = "', '"'), ("refresh_token=", ""), ("bearer ", ""), ("", "")):
+            secret = "".join(r.choices(LETTERS + "+/", k=n - 1)) + "7"
+            texts.append(f"wir haben {before}{secret}{after} gesehen")
+            want.append((len(want), 10 + len(before), 10 + len(before) + n, hashlib.sha256(secret.encode()).hexdigest()))
+    got = S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.start, x.end, x.secret_sha256) for x in got) == want
+
+
+def test_secrets_inside_a_long_value():
+    key = "9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d6c"
+    text = "link: https://example.org/" + "/".join(["language", "history", "picture"] * 12) + f"?page=3&token={key}&view=list"
+    (whole,) = S.candidates(text)
+    assert whole.end - whole.start > S.LONG and key in [text[c.start : c.end] for c in S.inside(text, whole)]
+    assert [text[c.start : c.end] for c, _ in S.train().secrets(text, None, S.THRESHOLD)] == [key]
+
+
 def test_trained_from_a_table(spark):
     rows = S.labelled_findings(400) + [(None, "x", 1)]
     judge = S.train(spark.createDataFrame(rows, "text string, path string, label int"), rows=300, trees=5)
