@@ -179,6 +179,18 @@ def merged_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_empty_sentences(rows).select("doc_id", "par_no", "tok_no", "sent_no")
 
 
+def merged_line_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty sentences of the documents merged into their neighbours.
+
+    Lines are paragraphs; their runs of end marks and what lies between are the unit
+    sentences, one row each, and those without a word are empty.
+    """
+    units = F.filter(F.regexp_extract_all("text", F.lit(r"[^.!?]+|[.!?]+"), F.lit(0)), lambda x: x.rlike(r"[^ \t\n\r\f]"))
+    rows = paragraphs(_docs(spark, sf_dir), "single_newlines").select("doc_id", "par_no", F.posexplode(units).alias("unit_sent", "unit"))
+    rows = rows.select("doc_id", "par_no", "unit_sent", F.col("unit_sent").alias("tok_no"), F.col("unit").rlike(_WORD_RUN).alias("first_in_sentence"))
+    return merge_empty_sentences(rows).select("doc_id", "par_no", "tok_no", "sent_no")
+
+
 QUERIES = {
     "token_classes": token_classes,
     "spaces_md5": spaces_md5,
@@ -205,6 +217,7 @@ QUERIES = {
     "role_tokens": role_tokens,
     "camel_case": camel_case,
     "merged_sentences": merged_sentences,
+    "merged_line_sentences": merged_line_sentences,
 }
 
 
@@ -255,4 +268,9 @@ def oracle_sql() -> dict[str, str]:
         "merged_sentences": f"""WITH u(doc_id, par_no, unit_sent, real) AS (VALUES {units}),
             n AS (SELECT *, greatest(sum(CASE WHEN real THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY par_no, unit_sent) - 1, 0) AS s FROM u)
             SELECT doc_id, par_no, CAST(unit_sent * 2 + k AS INTEGER) AS tok_no, CAST(s AS INTEGER) AS sent_no FROM n, (VALUES (0), (1)) AS t(k)""",
+        "merged_line_sentences": rf"""WITH d AS (SELECT doc_id, text FROM documents), {lines},
+            p AS (SELECT doc_id, line, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS INTEGER) AS par_no FROM l WHERE NOT regexp_matches(line, {_BLANK})),
+            q AS (SELECT doc_id, par_no, list_filter(regexp_extract_all(line, '[^.!?]+|[.!?]+'), lambda x: regexp_matches(x, '[^ \t\n\r\f]')) AS t FROM p),
+            u AS (SELECT doc_id, par_no, CAST(i - 1 AS INTEGER) AS tok_no, regexp_matches(t[i], '{_WORD_RUN}') AS real FROM (SELECT doc_id, par_no, t, unnest(range(1, len(t) + 1)) AS i FROM q))
+            SELECT doc_id, par_no, tok_no, CAST(greatest(sum(CASE WHEN real THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY par_no, tok_no) - 1, 0) AS INTEGER) AS sent_no FROM u""",
     }

@@ -89,6 +89,19 @@ def test_merge_empty(spark):
     assert [r.sent_no for r in merge_empty_sentences(df).orderBy("par_no", "tok_no").collect()] == [0, 0, 0, 1]
 
 
+def test_merged_units_golden(spark):
+    got = registry.queries()["merged_sentences"](spark, SF).filter("tok_no % 2 = 0").orderBy("doc_id", "par_no", "tok_no").collect()
+    assert [r.sent_no for r in got] == [0, 0, 0, 1, 0, 0, 1, 1, 0]
+
+
+def test_merged_sentences_of_documents(spark, tmp_path):
+    rows = [(1, "de", "... Ja! Nein.\n\n--\nDoch?\n"), (2, "en", "?!\n***"), (3, "fr", None), (4, "fr", "Oui")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["merged_line_sentences"](spark, str(tmp_path)).orderBy("doc_id", "par_no", "tok_no").collect()
+    first = [(0, 0, 0), (0, 1, 0), (0, 2, 0), (0, 3, 1), (0, 4, 1), (1, 0, 1), (2, 0, 2), (2, 1, 2)]
+    assert [tuple(r) for r in got] == [*((1, *x) for x in first), (2, 0, 0, 0), (2, 1, 0, 0), (4, 0, 0, 0)]
+
+
 def test_evaluation(spark):
     rows = lambda text: spark.createDataFrame([("f", i, t) for i, t in enumerate(text)], "file string, line_no int, token string")
     gold, system = evaluate.characters(rows(["<p>", "ab", "c", "", "d"]), ignore_tags=True), evaluate.characters(rows(["a", "bc", "d"]))
