@@ -6,6 +6,12 @@ Feistel network within its own format: as many digits in the same places, check
 made right again, dates stay real dates of 1901 to 2096. The permutation depends only on
 the key, the kind and the value, so equal values stay linked across documents and
 different ones stay different. Candidates that don't validate are left as they are.
+
+Dates are yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, and dd/mm/yyyy where that is no mm/dd/yyyy.
+Phone numbers are international ones with a plus, and North American ones without
+(with parentheses, hyphens or dots), whose area and exchange are 200 to 999 and don't end
+in 11; other national forms have no check that tells them from other numbers and are left
+as they are.
 """
 
 from __future__ import annotations
@@ -23,11 +29,15 @@ _IP = r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])"
 _SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 _CARD = r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-]|\.[0-9])"
 _PHONE = r"(?<!\w)\+(?:1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[2-9](?:[ -]?\(?[0-9]\)?){7,14})(?!\w)"
+_NATIONAL = r"(?<![\w.+-])(?:\([2-9][0-9]{2}\)[ -]?[2-9][0-9]{2}[ .-][0-9]{4}|[2-9][0-9]{2}-[2-9][0-9]{2}-[0-9]{4}|[2-9][0-9]{2}\.[2-9][0-9]{2}\.[0-9]{4})(?![\w-]|\.[0-9])"
 #: Kinds in the order in which they are tried at a place.
-PATTERNS = {"email": _EMAIL, "iban": _IBAN, "date": _DATE, "ip": _IP, "ssn": _SSN, "phone": _PHONE, "card": _CARD}
+PATTERNS = {"email": _EMAIL, "iban": _IBAN, "date": _DATE, "ip": _IP, "ssn": _SSN, "phone": _PHONE, "card": _CARD, "national": _NATIONAL}
 #: 196 years of 365.25 days: 71,589 = 147 * 487 days from this one on.
 _EPOCH = "1901-01-01"
 _SPAN = (147, 487)
+#: The 43,365 of them after the 12th of their month, and how many of a common year's lie before each month.
+_LATE = (177, 245)
+_LATE_BEFORE = (0, 19, 35, 54, 72, 91, 109, 128, 147, 165, 184, 202)
 
 
 def _long(x) -> Column:
@@ -172,15 +182,53 @@ def _phone(x: Column, key: str) -> Column:
     return F.when((n >= 8) & (n <= 15), F.concat(code, _fill(rest, _digits(d, F.concat(F.lit("phone"), code), key)))).otherwise(x)
 
 
+def _national(x: Column, key: str) -> Column:
+    d = _only(x, "0-9")
+    part = lambda a, n: F.substring(d, a, n).cast("long")
+    dense = lambda v: F.floor(v / 100 - 2) * 99 + v % 100 - F.when(v % 100 > 11, 1).otherwise(0)
+    area, exchange = part(1, 3), part(4, 3)
+    p = feistel(dense(area), dense(exchange) * 10000 + part(7, 4), F.lit(792), F.lit(7_920_000), F.lit("national"), key)
+    wide = lambda i: (F.floor(i / 99) + 2) * 100 + i % 99 + F.when(i % 99 >= 11, 1).otherwise(0)
+
+    def write(s: Column, q: Column) -> Column:
+        last = F.lpad((q["b"] % 10000).cast("string"), 4, "0")
+        return F.concat(wide(q["a"]).cast("long").cast("string"), wide(F.floor(q["b"] / 10000)).cast("long").cast("string"), last)
+
+    return F.when((area % 100 != 11) & (exchange % 100 != 11), _fill(x, F.aggregate(F.array(p), F.lit(""), write))).otherwise(x)
+
+
+def _day_first(x: Column, key: str) -> Column:
+    """The pseudonym of a date dd/mm/yyyy after the 12th, null for any other text: again such a date, so never one of a date mm/dd/yyyy."""
+    part = lambda a, n: F.substring(x, a, n).cast("int")
+    d, m, y = part(1, 2), part(4, 2), part(7, 4)
+    real = y.between(1901, 2096) & m.between(1, 12) & (d > 12) & (d <= _month_days(y, m))
+    n = F.datediff(F.make_date(y, m, F.lit(1)), F.lit(_EPOCH).cast("date")) + d - 1 - 12 * ((y - 1901) * 12 + m)
+    p = feistel(F.floor(n / _LATE[1]), n % _LATE[1], F.lit(_LATE[0]), F.lit(_LATE[1]), F.lit("day first"), key)
+
+    def write(s: Column, q: Column) -> Column:
+        i = (q["a"] * _LATE[1] + q["b"]).cast("int")  # four years have 885
+        k = F.least(F.floor(i % 885 / 221), F.lit(3)).cast("int")
+        left, leap = i % 885 - 221 * k, (k == 3).cast("int")
+        starts = F.array(*[F.lit(b) + (leap if j > 1 else 0) for j, b in enumerate(_LATE_BEFORE)])
+        month = F.size(F.filter(starts, lambda b: b <= left))
+        pad = lambda v, w: F.lpad(v.cast("string"), w, "0")
+        return F.concat_ws("/", pad(left - F.element_at(starts, month) + 13, 2), pad(month, 2), pad(F.floor(i / 885).cast("int") * 4 + k + 1901, 4))
+
+    return F.when(real, F.aggregate(F.array(p), F.lit(""), write))
+
+
+def _month_days(y: Column, m: Column) -> Column:
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    return F.when(m == 2, 28 + leap.cast("int")).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+
+
 def _date(x: Column, key: str) -> Column:
     iso, dotted = x.contains("-"), x.contains(".")
     part = lambda a, n: F.substring(x, a, n).cast("int")
     y = F.when(iso, part(1, 4)).otherwise(part(7, 4))
     m = F.when(iso, part(6, 2)).when(dotted, part(4, 2)).otherwise(part(1, 2))
     d = F.when(iso, part(9, 2)).when(dotted, part(1, 2)).otherwise(part(4, 2))
-    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
-    days = F.when(m == 2, 28 + leap.cast("int")).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
-    real = y.between(1901, 2096) & m.between(1, 12) & (d >= 1) & (d <= days)
+    real = y.between(1901, 2096) & m.between(1, 12) & (d >= 1) & (d <= _month_days(y, m))
     n = F.datediff(F.make_date(y, m, d), F.lit(_EPOCH).cast("date"))
     p = feistel(F.floor(n / _SPAN[1]), n % _SPAN[1], F.lit(_SPAN[0]), F.lit(_SPAN[1]), F.lit("date"), key)
 
@@ -188,10 +236,10 @@ def _date(x: Column, key: str) -> Column:
         new = F.date_add(F.lit(_EPOCH).cast("date"), (q["a"] * _SPAN[1] + q["b"]).cast("int"))
         return F.when(iso, F.date_format(new, "yyyy-MM-dd")).when(dotted, F.date_format(new, "dd.MM.yyyy")).otherwise(F.date_format(new, "MM/dd/yyyy"))
 
-    return F.when(real, F.aggregate(F.array(p), F.lit(""), write)).otherwise(x)
+    return F.when(real, F.aggregate(F.array(p), F.lit(""), write)).otherwise(F.coalesce(F.when(~iso & ~dotted, _day_first(x, key)), x))
 
 
-_MAKERS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
+_MAKERS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card, "national": _national}
 
 
 def pseudonym(x: Column, key: str = KEY) -> Column:

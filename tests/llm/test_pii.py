@@ -97,6 +97,25 @@ def test_equal_values_stay_linked(spark):
     assert pii.pseudonymise(other).first().text == f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
 
 
+def test_day_first_dates(spark):
+    days = [datetime.date(1901, 1, 1) + datetime.timedelta(i) for i in range(71589)]
+    late = [d.strftime("%d/%m/%Y") for d in days if d.day > 12]
+    got = spark.createDataFrame([(t,) for t in late], "t string").select(pii.pseudonym(F.col("t")).alias("p")).collect()
+    assert sorted(r.p for r in got) == sorted(late) and sum(r.p == t for r, t in zip(got, late)) < 10
+    assert run(spark, ["le 31/12/1999, 31/02/2000 und 31/12/1899"])[0][1] == 1
+
+
+def test_national_phones(spark):
+    texts = ["call (743) 555-3824 now", "743-555-3824", "Tel. 743.555.3824,", "911-555-3824", "(743) 911-3824", "143-555-3824", "030 1234567", "743 555 3824", "1-743-555-3824-9"]
+    got = run(spark, texts)
+    assert [n for _, n in (got[i] for i in range(len(texts)))] == [1, 1, 1, 0, 0, 0, 0, 0, 0]
+    assert re.fullmatch(r"call \([2-9]\d\d\) [2-9]\d\d-\d{4} now", got[0][0])
+    assert len({re.sub(r"\D", "", got[i][0]) for i in range(3)}) == 1
+    numbers = [f"{a}-{a}-0{a}" for a in range(200, 1000) if a % 100 != 11]
+    made = [t for t, _ in run(spark, numbers).values()]
+    assert len(set(made)) == len(numbers) and all(re.fullmatch(r"(?!.11)[2-9]\d\d-(?!.11)[2-9]\d\d-\d{4}", t) for t in made)
+
+
 def test_columns_and_plan(spark):
     df = spark.createDataFrame([(1, "10.0.0.1", "t", "f", 2)], "doc_id long, text string, row string, found string, gaps int")
     out = pii.pseudonymise(df, count="gaps")
