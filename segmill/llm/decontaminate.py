@@ -22,8 +22,10 @@ from .shared import settle
 
 #: Edits for each character of an item.
 RATE = 0.08
-#: Items with fewer normalised characters are no evidence and are not searched.
+#: Items with fewer normalised characters are searched exactly, at word boundaries.
 MIN_CHARS = 32
+#: Such items of fewer words are common phrases, no evidence, and are not searched; ``unsearched`` gives them.
+MIN_WORDS = 4
 #: Characters of items searched at a time; a larger benchmark is searched in blocks.
 BLOCK_CHARS = 4_000_000
 #: Rows in work at a time.
@@ -73,10 +75,19 @@ def item_masks(item: str) -> dict[str, int]:
 
 
 class Searcher:
-    """Finds a block of items in texts."""
+    """Finds a block of items in texts; those in ``exact`` without edits and as whole words."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, exact: list[tuple[int, str]] = ()):
         self.items = items
+        ids: dict[str, list[int]] = {}
+        for item_id, t in exact:
+            ids.setdefault(f" {t} ", []).append(item_id)
+        self.words = ahocorasick.Automaton()
+        for t, found in ids.items():
+            self.words.add_word(t, found)
+        if ids:
+            self.words.make_automaton()
+        self.exact = bool(ids)
         self.plan = [pieces(len(t), rate) for _, t in items]
         self.masks = [item_masks(t) for _, t in items]
         where: dict[str, list[tuple[int, int, int]]] = {}
@@ -104,7 +115,7 @@ class Searcher:
                     mine[-1][1] = max(mine[-1][1], high)
                 else:
                     mine.append([low, high])
-        found = []
+        found = [(i, 0) for i in {i for _, ids in self.words.iter(f" {t} ") for i in ids}] if self.exact else []
         for k, mine in windows.items():
             item_id, item = self.items[k]
             budget = self.plan[k][0]
@@ -121,6 +132,14 @@ class Searcher:
         return found
 
 
+def _too_short(t: str) -> bool:
+    return len(t) < MIN_CHARS and t.count(" ") + 1 < MIN_WORDS
+
+
+def _parted(items: list[tuple[int, str]], rate: float) -> tuple:
+    return [x for x in items if len(x[1]) >= MIN_CHARS], rate, [x for x in items if len(x[1]) < MIN_CHARS]
+
+
 _searchers: dict = {}
 
 
@@ -129,7 +148,7 @@ def _searcher(block: tuple, rate: float) -> Searcher:
     name, shared = block
     if (name, rate) not in _searchers:
         _searchers.clear()
-        _searchers[name, rate] = Searcher(shared.value, rate)
+        _searchers[name, rate] = Searcher(*_parted(shared.value, rate))
     return _searchers[name, rate]
 
 
@@ -142,16 +161,23 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> list[tuple]:
     out = []
     for b in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()
-        mine = sorted({(r.item_id, t) for r in rows if len(t := normal(r.text)) >= MIN_CHARS}, key=str)
+        mine = sorted({(r.item_id, t) for r in rows if not _too_short(t := normal(r.text))}, key=str)
         out.append((uuid.uuid4().hex, spark.sparkContext.broadcast(mine)))
     return out
 
 
+def unsearched(benchmark: DataFrame) -> DataFrame:
+    """The rows of ``benchmark`` that no search looks for: null, without a word, or under ``MIN_CHARS`` characters and ``MIN_WORDS`` words."""
+    short = F.udf(lambda text: _too_short(normal(text)), "boolean")
+    return benchmark.filter(short("text"))
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance): each item found in each document, with its least edit distance.
 
-    Null or empty texts contain nothing; null items and items of under ``MIN_CHARS``
-    normalised characters are not searched. Rows that repeat a doc_id or an item_id give
+    Null or empty texts contain nothing. Items of under ``MIN_CHARS`` normalised
+    characters are found where they stand exactly, as whole words; null ones and those of
+    under ``MIN_WORDS`` words besides are not searched (see ``unsearched``). Rows that repeat a doc_id or an item_id give
     one row, with the least distance. A benchmark above ``block_chars`` is searched in
     several passes, so what a pass broadcasts has a fixed bound.
     """

@@ -79,6 +79,16 @@ def test_decontamination(spark, block):
     assert D.contaminations(df.limit(0), b).count() == D.contaminations(df, b.limit(0)).count() == 0
 
 
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "What is the capital of France?"), (2, "what is the capital of francs"), (3, "The end."), (4, None), (5, "Is it a dog?"), (6, "who has seen the wind at the very old harbour wall")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["So: what is the CAPITAL of France - Paris.", "what is the capital of frances", "it is the end", None, "Is it a dog?", "this is it a dogma", "what is the capitol of france"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in D.contaminations(docs, bench).collect()) == [(0, 1, 0), (4, 5, 0)]
+    assert sorted(r.doc_id for r in D.drop_contaminated(docs, bench).collect()) == [1, 2, 3, 5, 6]
+    assert sorted(r.item_id for r in D.unsearched(bench).collect()) == [3, 4]
+
+
 def test_forest_on_held_out_findings():
     judge = S.train()
     right = 0
