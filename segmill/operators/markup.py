@@ -12,6 +12,7 @@ from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import numpy as np
+import regex
 
 from .cascade import Piece
 
@@ -152,6 +153,20 @@ def parse_html(html: str, eos_tags: Iterable[str] | None = None, prune_tags: Ite
     return builder.parts
 
 
+# A document as a string: B and E are start and end tags that end sentences, s and e other ones, w is a text, a space a blank one.
+#: Texts with which a sentence begins, and texts with which one ends.
+_FIRST = regex.compile(r"(?:^|[BE])[^wBE]*(w)")
+_LAST = regex.compile(r"[w ](?=[^w ]*[BE])")
+#: After a sentence-final end tag a chunk goes on up to a start tag or a text, else up to what leads to a sentence-final start tag.
+_CHUNK = regex.compile(r"[^w]*w.*?(?:(?<=E[eE ]*)(?=[sw]| *B)|(?<!E[eE ]*)(?=[s ]*B)|$)|.+")
+
+
+def _code(piece: Piece) -> str:
+    if not piece.markup:
+        return "w" if piece.text.strip() else " "
+    return ("BE" if piece.markup_eos else "se")[piece.markup_class == "end"]
+
+
 def chunks(parts: list[Part]) -> list[list[Part]]:
     """Parts between sentence-final tags.
 
@@ -160,51 +175,12 @@ def chunks(parts: list[Part]) -> list[list[Part]]:
     sentence-final end tag, at the next start tag or words, so that further end tags
     stay on the left. What is left at the end is a chunk even without words.
     """
-    out: list[list[Part]] = []
-    now: list[Part] = []
-    begin, ended, words = True, False, False
-
-    def close(keep: int = 0) -> None:
-        nonlocal now, words
-        split = len(now) - keep
-        out.append(now[:split])
-        now, words = now[split:], False
-
-    for part in parts:
-        p = part.piece
-        if p.markup and p.markup_eos:
-            begin = True
-            for q in reversed(now):
-                if not q.piece.markup:
-                    q.piece.last_in_sentence = True
-                    break
-            if p.markup_class == "start":
-                ended = False
-                if words:
-                    keep = 0
-                    while keep < len(now) and (now[-1 - keep].piece.markup_class == "start" or not now[-1 - keep].piece.text.strip()):
-                        keep += 1
-                    close(keep)
-            else:
-                ended = True
-        elif p.markup:
-            if ended and p.markup_class == "start":
-                ended = False
-                if words:
-                    close()
-        elif p.text.strip():
-            if ended:
-                ended = False
-                if words:
-                    close()
-            if begin:
-                begin = False
-                p.first_in_sentence = True
-                words = True
-        now.append(part)
-    if now:
-        out.append(now)
-    return out
+    codes = "".join([_code(p.piece) for p in parts])
+    for m in _FIRST.finditer(codes):
+        parts[m.start(1)].piece.first_in_sentence = True
+    for m in _LAST.finditer(codes):
+        parts[m.start()].piece.last_in_sentence = True
+    return [parts[m.start() : m.end()] for m in _CHUNK.finditer(codes)]
 
 
 # Characters that may stand in a source between the characters of a token.
