@@ -1,9 +1,9 @@
 """Word lists of the segmentation rules.
 
-Fixed values stand as they must be for right results. The large lists (abbreviations,
-names with plus or ampersand, camel-case names) are short lists of common entries here
-and can be replaced by complete ones: ``load`` reads files of a folder that hold one
-entry a line, ``#`` starting a comment.
+Fixed values stand as they must be for right results. Of the large lists (abbreviations,
+names with plus or ampersand, camel-case names) the most frequent entries stand here.
+Complete ones are a parameter: ``load`` reads files of a folder that hold one entry a
+line, ``#`` starting a comment.
 """
 
 from __future__ import annotations
@@ -31,31 +31,36 @@ NONBREAKING_SUFFIXES = """able ahol aholic ation centric cracy crat dom er ery e
 UNITS = """bit cent cm cm2 cm3 cm^2 cm^3 cm² cm³ dm dm2 dm3 dm^2 dm^3 dm² dm³ eur f ft g gbit/s ghz h hz kg km km/h km2 km3 km^2 km^3 km² km³ l lb
     m m2 m3 m^2 m^3 mbit/s min ml mm mm2 mm3 mm^2 mm^3 mm² mm³ m² m³ qm s sek""".split()
 
-# Common entries of the large lists.
+# Frequent entries of the large lists, each of about 200; complete lists are a parameter.
 ABBREVIATIONS = {
-    "de": """abb. abs. abschn. abt. adr. akad. allg. amtl. anh. anm. anschl. apl. apr. art. aufl. aug. ausg. autom. az. bd. bde. bearb. begr. beil. bes.
-        best. betr. bez. bgbl. bgm. bhf. bibl. biol. bln. bspw. bzgl. bzw. ca. chem. co. dez. dgl. dipl. dir. diss. do. doz. dr. dt. ebd. ehem. eigtl.
-        einschl. engl. entspr. etc. etw. ev. evtl. exkl. expl. fa. feb. febr. ff. fig. forts. fr. frz. geb. gebr. gegr. gem. gen. geogr. ges. gest. gesch. ggf.
-        griech. hbf. hg. hr. hrn. hrsg. hs. inkl. insb. insbes. inst. int. inv. ital. jan. jg. jgg. jh. jhd. jmd. jmdm. jmdn. jr. jul. jun. jur. kap. kath. kfm.
-        kl. kgl. konst. korr. kto. lat. lfd. lit. lt. ltd. mag. math. max. mdl. med. mind. min. mio. mitgl. mi. mrd. möbl. mwst. nachf. nachm. nat. niederl. nov. nr. obj.
-        öff. österr. okt. op. phil. phys. pl. plz. prof. prot. qual. rd. red. ref. reg. rel. resp. röm. s. sa. sen. sept. sep. so. sog. spez. st. std. stellv. str.
-        stud. tägl. tel. telef. tsd. u. ungebr. univ. urspr. usf. usw. ust. uvam. verf. vergl. verh. verl. vers. vert. vgl. vol. vorm. vors. wg. wiss. zit. zool.
-        ztg. zusf. zz. zzgl. zzt.""".split(),
-    "en": """abbr. abbrev. acad. adj. adm. adv. agric. amer. anat. anon. app. approx. apr. archaeol. assn. assoc. asst. astron. aug. ave. bibl.
-        biogr. biol. blvd. bros. bull. c. ca. cap. capt. cf. ch. chap. chem. chron. cit. class. co. col. comm. comp. conf.
-        cong. conj. contrib. corp. crit. dec. def. dept. descr. dict. dist. div. dr. dyn. econ. ed. educ. encycl. eng. esp. esq. est.
-        et. etc. ex. exc. ext. feb. ff. fig. fl. fr. freq. fri. ft. fut. gen. geogr. geol. geom. ger. gov. govt. gr. hist. hon. hosp.
-        ibid. inc. ind. inst. int. intr. ital. jan. jap. jr. jrnl. jul. jun. lab. lang. lat. lib. lit. lt. ltd. mag.
-        maj. mar. math. max. mech. med. mem. messrs. meteorol. min. misc. mod. mon. mr. mrs. ms. mt. mts. mus. nat. nov. nr. num. obj. obs. occas.
-        oct. orig. pa. pharm. ph.d. philos. phr. phys. pl. poet. pol. pop. pos. pref. prep. pres. princ. prob. proc. prof. pron. pt. publ. quot.
-        rec. ref. reg. rel. rep. rev. sat. sci. sec. sen. sept. sep. ser. sgt. sing. soc. spec. sq. sr. st. stat. subj. suppl. surg. syst. techn. theol.
-        thur. trans. tues. ult. univ. vb. viz. vocab. vol. vs. wed. wk. yr. yrs. zool.""".split(),
+    "de": """abb. abh. abs. abschn. abzgl. adj. adr. adv. allg. amtl. anh. anl. anm. anschl. apr. archäol. aufl. aug. ausg. ausschl. az. bay. bd. bde. bearb. begr.
+        ber. bes. beschl. betr. bez. bgbl. bibl. biol. bj. bln. bsp. bspw. bzgl. bzw. ca. cf. chem. co. ders. dez. dgl. di. dipl. diss. do. doz. dr.
+        dt. ebd. ehem. eigtl. einschl. einw. engl. entspr. etc. etw. ev. evang. evtl. exkl. fa. fam. feb. ff. forts. fr. franz. frz. fußn. geb. gebr.
+        gegr. gem. geogr. ges. gesch. gest. gez. ggf. ggfs. hbf. hist. hl. hr. hrn. hrsg. hs. ing. inkl. insb. insbes. int. ital. jan. jg. jh. jhd.
+        jmd. jmdm. jmdn. jr. jul. jun. jur. kap. kath. kfm. kl. kto. lfd. lit. lt. ltd. mag. math. max. mdl. med. mi. min. mind. mio. mitgl. mo. mr.
+        mrd. mrs. ms. mtl. mwst. möbl. nachf. nachm. nat. niederl. nov. nr. nördl. obj. okt. orig. österr. östl. phys. pl. polit. prof. psych. rd.
+        reg. rel. resp. röm. sa. sep. sept. sog. soz. spez. sr. st. std. stellv. str. stud. südl. techn. tel. tsd. tägl. ugs. univ. urspr. usf. usw.
+        verf. vergl. verh. vgl. vllt. vors. vs. westl. wg. wiss. ziff. zool. zt. zus. zz. zzgl. zzt.""".split(),
+    "en": """abbrev. acad. acct. adj. adm. adv. agric. al. alt. amer. anat. apr. archaeol. archit. assoc. astron. aug. ave. biol. blvd. bros. calif. capt. cf. ch.
+        chem. chr. chron. co. col. coll. colloq. comm. comp. conf. congr. conj. contrib. corp. corr. dec. def. dep. dept. descr. dict. diss. dist.
+        div. doc. dr. econ. ed. educ. encycl. eng. esp. etc. exc. exec. ext. fam. feb. fig. fl. fr. freq. fri. ft. gen. geog. geogr. geol. geom. gov.
+        govt. hist. hosp. inc. ind. inst. instr. int. internat. intr. ital. jan. jap. jr. jrnl. jul. jun. lang. lat. lb. lit. lt. ltd. mag. mar. mech.
+        med. mem. mil. min. misc. mon. mr. mrs. ms. mss. mt. mts. mus. nat. nov. num. obj. obs. oct. okla. ont. opp. org. orig. pers. ph.d. phil.
+        philos. phys. pl. plur. pol. polit. prep. pres. prob. proc. prof. pron. prov. ps. psychol. publ. quot. rec. ref. reg. rel. rep. repr. rev.
+        russ. sat. sc. sch. sci. sen. sep. sept. ser. soc. sp. spec. sq. sr. st. stat. str. subj. suppl. surg. syst. techn. technol. tel. theol. thur.
+        trans. transl. treas. tue. ult. univ. va. var. vet. viz. vocab. vol. vols. vs. wed. wk. wks. yr. yrs. zool.""".split(),
 }
-PLUS_AMPERSAND = """A&E A&R A+ AT&T B&B B&W B+ Black&White C&A C++ C&C Canal+ D&D D&O Disney+ E+ F&E F&B G&A G+ Google+ H&K H&M
-    H&R HD+ Hack&Slay Jack&Jones K&K L&M LTE+ M&A M&M M&M's Marks&Spencer Mac&Cheese MB&F N&D Notepad++ O&M Ö&M P&A P&C P&L P+R Peek&Cloppenburg
-    Plug&Play Q&A R&B R&D R&R Rock&Roll S&P S&M Simon&Garfunkel Sky+ T&T Texte+Kritik Tom&Jerry V&A VH&S Z&A""".split()
-CAMEL_CASE = """AirBnB BaFöG BMBFplus BibTeX eBay FaceBook GitHub GitLab GmbH iPhone iPad InDesign JavaScript LaTeX LibreOffice LinkedIn MacBook
-    McDonald MySQL OpenOffice PayPal PepsiCo PhD PlayStation PostgreSQL PowerPoint QuickTime SharePoint SoundCloud StackOverflow TeX TikTok
+PLUS_AMPERSAND = """A&E A&M A&P A&R A++ A+++ AAC+ AD&D ANT+ ARCH+ AT&T Auer+Weber B&B B&C B&F B&M B&O B&Q B&T B&W B+B BB&T BD+ Belle&Sebastian Bild+Funk Blohm+Voss C&A
+    C&C C&D C&L C&M C&O C&P C&R C&S C&T C&W C++ C++Builder Canal+ CD+DVD CD+G CI+ COM+ Ctrl+Alt+Del D&A D&B D&D D&G D&O D&S D&W DAB+ Digital+
+    Do&Co DTS++ DVD+R DVD+RW E&N E&Y E+ EG&G Endress+Hauser Erasmus+ F&A F&B F&E F&F F&K F&R Fix+Foxi G&B G&D G&L G++ G+H G+J Go+ Google+
+    Gruner+Jahr GTK+ GTX+ H&H H&K H&M H&N H&R H&S Hahn+Kolb HD+ HSPA+ Huber+Suhner I&K I&U info+ J&B J&J J&M J&P J&S J&T J+S Johnson&Johnson
+    Jugend+Technik K&K K&L K&M K&N K&R K&S K+S Kaiser+Kraft L&C L&M L&N L&P L&S Landis+Gyr LIFE+ M&A M&B M&D M&G M&M M&Ms M&S M&T Mann+Hummel
+    Markt+Technik Notepad++ O&K O&M P&A P&C P&E P&G P&I P&L P&M P&O P&P P&R P&T P&W P+R PAL+ Park&Ride Peek&Cloppenburg Pen&Paper Pepperl+Fuchs
+    PG&E Plug&play Plus+ Pratt&Whitney Procter&Gamble Q&A R&A R&B R&D R&F R&R R&S Rohde&Schwarz S&D S&G S&H S&K S&P S&T S&W Serve&Volley
+    Sport+Technik StrongDC++ SXGA+ T&D T&T TACACS+ V&A V&R V&S VIVA+ W&B W&W WXGA+ X++ Y&R Yin&Yang""".split()
+# Own examples.
+CAMEL_CASE = """AirBnB BaFöG BMBFplus BibTeX eBay FaceBook GitHub GitLab GmbH iPhone iPad InDesign JavaScript LibreOffice LinkedIn MacBook
+    MySQL OpenOffice PayPal PepsiCo PhD PlayStation PostgreSQL PowerPoint QuickTime SharePoint SoundCloud StackOverflow TeX TikTok
     TypeScript WhatsApp WikiLeaks WordPress YouTube""".split()
 
 # Emoticons and text faces.

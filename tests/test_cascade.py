@@ -56,6 +56,13 @@ GERMAN = [
     ("Das ist.Und dann …", "Das ist . Und dann …"),
     ("&amp; <b class='x'>ja</b> <Medien weggelassen>", "&amp; <b class='x'> ja </b> < Medien weggelassen >"),
 ]
+GERMAN += [  # lists: what they lack isn't an abbreviation or a name
+    ("im ``LaTeX-Stil''!", "im `` LaTeX-Stil '' !"),
+    ("Hey Mr. Maier", "Hey Mr. Maier"),
+    ("Seine Art. Klar, die beste. Nun", "Seine Art . Klar , die beste . Nun"),
+    ("Gehen wir zu McDonald's?", "Gehen wir zu McDonald's ?"),
+    ("im 9. Jh. bzw. ca. 800", "im 9. Jh. bzw. ca. 800"),
+]
 ENGLISH = [
     ("the U.S., e.g. x", "the U.S. , e.g. x"),
     ("You cannot come!", "You can not come !"),
@@ -71,6 +78,9 @@ ENGLISH = [
 ]
 
 
+ENGLISH += [("in class. In a lab. They sing. We pop.", "in class . In a lab . They sing . We pop ."), ("Dr. Hill et al. vs. Mr. Hall", "Dr. Hill et al. vs. Mr. Hall")]
+
+
 @pytest.mark.parametrize("text,expected", GERMAN)
 def test_german(text, expected):
     assert words(text) == expected
