@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -10,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one of our own if all runs on this machine, else ValueError."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="segmill-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -23,20 +26,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The shuffle files of the write go with its end.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = new_path(spark, name), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["stashed"] = path
+    return out
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: only then do the shuffle files of finished steps leave the disks."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``stash`` returned and no later read needs."""
+    for df in tables:
+        drop_path(df.sparkSession, df.__dict__["stashed"])
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -79,3 +92,11 @@ def write_once(uri: str, chunks) -> None:
         for chunk in chunks:
             out.write(chunk)
     store.move(own, path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage: only then do the shuffle files of finished steps leave the disks."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
