@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import drop, stash
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(mark) == seen:
             break
         seen = tuple(mark)
-        now = stash(_star(_star(now, large=True), large=False), "edges")
+        last, now = now, stash(_star(_star(now, large=True), large=False), "edges")
+        drop(last)
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -13,6 +13,9 @@ are banding keys. Steps, all linear in the rows:
    promising partner come back with their texts, and full sets decide. Blocks have a
    bounded size; only confirmed links leave them, never the pairs that were tried.
 
+Texts move only where a pair needs them: a bitmap of the wanted ids, of a fixed size,
+picks them at the scan. Tables in between are removed after their last reader.
+
 At a similarity of exactly 0.75 a pair misses all 32 bands with probability 5e-6.
 """
 
@@ -25,9 +28,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .components import components
-from .shared import settle, stash, tidy
+from .idfilter import marked
+from .shared import drop, settle, stash
 from .shingles import mixed, shingle_sets
 
 BUCKETS = 128
@@ -103,6 +108,10 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows, few at a time: what is worked out of a text takes several times its memory."""
     for batch in batches:
@@ -118,15 +127,22 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 batch.column("doc_id"),
                 pa.array([len(s) for s in sets], pa.int64()),
-                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.array([r.tobytes() for r in regs], pa.binary()),
-                pa.array(band_keys(regs), pa.list_(pa.int64())),
             ],
-            names=["doc_id", "n_shingles", "digest", "regs", "bands"],
+            names=["doc_id", "n_shingles", "digest", "regs"],
         )
     settle()
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            keys = band_keys(np.frombuffer(b"".join(batch.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS))
+            ids = np.repeat(batch.column("rep").to_numpy(), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], names=["key", "id"])
+
+
 def _estimate(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,62 +246,96 @@ def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
     return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
-
-    Documents link when 100 * intersection >= percent * union of their 5-word shingle
-    sets. A document without words links with nothing and is kept. Rows that repeat a
-    doc_id are one document and share its class; rows with a null doc_id are kept, with
-    a null component. Other columns are ignored, and an empty table gives no rows.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = stash(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, regs binary, bands array<bigint>"), "marks")
+def _classes(texts: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(marks, classes) of ``texts`` (doc_id, text): (doc_id, n_shingles, digest, regs) of each row, and (digest, class)."""
+    marks = stash(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, digest binary, regs binary"), "marks")
     known = marks.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    reps = stash(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")), "reps")
+    reps = stash(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "reps")
     # A doc_id that repeats with other words represents several sets; links between those hold by the id itself.
     sketch = reps.select(F.col("rep").alias("id"), "n", "regs")
-    bands = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    shared = bands.groupBy(F.col("key").alias("hub_key")).agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    tried = stash(bands.join(shared, bands["key"] == shared["hub_key"]).filter(F.col("id") != F.col("hub")).select("id", "hub").distinct(), "tried")
+    bands = reps.select("rep", "regs").mapInArrow(_bands, "key long, id long")
+    shared = bands.groupBy(F.col("key").alias("hub_key")).agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last")
+    buckets = stash(bands.join(shared, F.col("key") == F.col("hub_key")).filter(F.col("id") != F.col("hub")).select("key", "id", "hub"), "buckets")
     hubs = sketch.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs"))
-    near = stash(tried.join(sketch, "id").join(hubs, "hub").mapInArrow(_estimate(percent), "id long, hub long"), "near").distinct()
-    ids = tried.select("id").unionByName(tried.select(F.col("hub").alias("id"))).distinct()
-    needed = stash(texts.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi"), "needed")
-    tidy(docs.sparkSession)
+    tried = buckets.select("id", "hub").distinct()
+    near = stash(tried.join(sketch, "id").join(hubs, "hub").mapInArrow(_estimate(percent), "id long, hub long").distinct(), "near")
+    picked = lambda ids: marked(texts.withColumnRenamed("doc_id", "id"), "id", ids)[0]
+    needed = stash(picked(near.select(F.explode(F.array("id", "hub")).alias("id"))), "needed")
     hub_texts = needed.select(F.col("id").alias("hub"), F.col("text").alias("hub_text"))
     links = near.join(needed, "id").join(hub_texts, "hub").mapInArrow(_confirm(percent), "id long, hub long")
     first = stash(components(links.select(F.col("id").alias("u"), F.col("hub").alias("v"))), "first")
-    tidy(docs.sparkSession)
+    drop(near, needed)
 
-    # Buckets that still hold several components. All pairs with a bucket's hub have been tried, so it stays out.
-    named = bands.join(first, bands["id"] == first["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    open_keys = named.groupBy(F.col("key").alias("open_key")).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min("id").alias("hub")).filter("low != high and size > 2")
-    open_rows = named.join(open_keys, named["key"] == open_keys["open_key"]).filter(F.col("id") != F.col("hub")).select("key", "id", "component")
+    # Buckets whose other rows still are of several components. All pairs with a bucket's hub have been tried, so it stays out.
+    named = buckets.join(first, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    open_keys = named.groupBy(F.col("key").alias("open_key")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    open_rows = stash(named.join(open_keys, F.col("key") == F.col("open_key")).select("key", "id", "component"), "open")
+    drop(buckets)
     seen = open_rows.join(sketch, "id").select("key", "id", "component", "n", "regs")
     flagged = stash(_in_blocks(seen, block).mapInArrow(_flag(percent), "key long, id long, component long").distinct(), "flagged")
-    more = flagged.join(needed, "id").select("key", "id", "component", "text")
+    drop(open_rows)
+    wanted = stash(picked(flagged.select("id")), "wanted")
+    more = flagged.join(wanted, "id").select("key", "id", "component", "text")
     late = stash(_in_blocks(more, block).mapInArrow(_link(percent), "u long, v long"), "late")
+    drop(flagged, wanted)
     joined = late.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
     merged = components(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
     merged = merged.select(F.col("node").alias("was"), F.col("component").alias("now"))
+    own = reps.select("digest", "rep").join(first, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("was"))
+    classes = stash(own.join(merged, "was", "left").select("digest", F.coalesce("now", "was").alias("class")), "classes")
+    drop(reps, first, late)
+    return marks, classes
+
 
-    classes = reps.select("digest", "rep").join(first, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("was"))
-    classes = classes.join(merged, "was", "left").select("digest", F.coalesce("now", "was").alias("class"))
+def _judged(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and digest of each row."""
     out = marks.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("class")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"), "digest")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "digest")
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text).
+
+    Documents link when 100 * intersection >= percent * union of their 5-word shingle
+    sets, of 64-bit hashes. A document without words links with nothing and is kept. Rows
+    that repeat a doc_id are one document and share its class; rows with a null doc_id are
+    kept, with a null component. Other columns are ignored, and an empty table gives no rows.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _judged(*_classes(texts, percent, block)).drop("digest")
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _small(batches):
+        sets = shingle_sets(batch.column("t").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array([_digest(s) for s in sets], pa.binary())], names=["id", "row", "digest"])
+    settle()
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One document of each near-duplicate class, columns unchanged; documents without words all stay.
 
-    Rows that repeat a kept doc_id count as one document; one of them stays. Rows with
-    a null doc_id stay.
+    Of rows that repeat a kept doc_id and its shingle set the one with the least text (and
+    then the least values) stays. Rows that repeat a doc_id with another set are judged by
+    that set's class. Rows with a null doc_id stay. Only rows that may go are shuffled.
     """
     names = docs.columns
-    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    row = docs.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
-    left = row.join(gone.hint("merge"), F.col("__id") == F.col("__gone"), "left_anti")
-    kept = left.filter("__id is not null").groupBy("__id").agg(F.first("row").alias("row")).select("row").unionByName(left.filter("__id is null").select("row"))
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in names])
+    marks, classes = _classes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), percent, block)
+    judged = _judged(marks, classes).filter("doc_id is not null")
+    ids = judged.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.count("*").alias("rows")).filter("not some or rows > 1")
+    changes = stash(ids.select(F.col("doc_id").alias("id"), "some"), "changes")
+    sets = judged.filter("kept").join(changes.filter("some").hint("merge"), F.col("doc_id") == F.col("id"), "left_semi")
+    kept = stash(sets.select(F.col("doc_id").alias("its_id"), F.col("digest").alias("its_set")).distinct(), "kept")
+    drop(marks, classes)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    maybe, sure = marked(rows.withColumnRenamed("text", "t"), "id", changes.select("id"))
+    asked = maybe.join(changes.hint("merge"), "id", "left")
+    alone = asked.filter("some is null").select("row")
+    again = asked.filter("some").select("id", "t", "row")
+    again = again.mapInArrow(_with_sets, T.StructType([again.schema["id"], again.schema["row"], T.StructField("digest", T.BinaryType())]))
+    again = again.join(kept.hint("merge"), (F.col("id") == F.col("its_id")) & (F.col("digest") == F.col("its_set")), "left_semi")
+    first = F.struct(F.col("row")["text"].alias("t"), F.to_json("row").alias("j"))
+    one = again.groupBy("id", "digest").agg(F.min_by("row", first).alias("row")).select("row")
+    return sure.select("row").unionByName(alone).unionByName(one).select(*[F.col("row").getField(c).alias(c) for c in names])

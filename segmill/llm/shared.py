@@ -92,11 +92,3 @@ def write_once(uri: str, chunks) -> None:
         for chunk in chunks:
             out.write(chunk)
     store.move(own, path)
-
-
-def tidy(spark: SparkSession) -> None:
-    """Let the driver collect its garbage: only then do the shuffle files of finished steps leave the disks."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

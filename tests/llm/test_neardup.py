@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from segmill.llm import neardup
+from segmill.llm import idfilter, neardup
 from segmill.llm.components import components
 from segmill.llm.shingles import shingle_sets
 
@@ -45,6 +45,29 @@ def test_keep_one_and_odd_rows(spark):
     assert [r.kept for r in neardup.near_duplicates(df).filter("doc_id is null").collect()] == [True]
 
 
+def test_keep_one_with_repeated_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    rows = [(3, text(1), 9), (3, text(1), 2), (3, text(2), 1), (4, text(2), 1), (5, text(3), 1), (5, text(4), 1), (2, text(4).upper(), 1), (6, None, 1), (6, None, 1)]
+    df = spark.createDataFrame([(*r, {"a": 1}) for r in rows], "doc_id long, text string, id int, extra map<string,int>")
+    got = sorted((r.doc_id, r.text or "", r.id) for r in neardup.keep_one(df).collect())
+    # 3: one of the equal rows, and its other text, whose copy in 4 goes. 5: the text that is a copy of 2's goes.
+    assert got == [(2, text(4).upper(), 1), (3, text(1), 2), (3, text(2), 1), (5, text(3), 1), (6, "", 1)]
+    assert neardup.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bits", [26, 15, 6])
+def test_bitmap_of_ids(spark, bits):
+    rows = spark.range(-500, 3000).selectExpr("if(id = 7, null, id) as id", "id as v")
+    ids = spark.range(0, 3000, 3).selectExpr("id as x")
+    maybe, sure = idfilter.marked(rows, "id", ids, bits, min(bits, 10))
+    a, b = {r.v for r in maybe.collect()}, {r.v for r in sure.collect()}
+    assert a | b == set(range(-500, 3000)) and not a & b
+    assert set(range(0, 3000, 3)) <= a and 7 in b
+    assert len(a) < 1010 if bits == 26 else len(a) > 1010
+    maybe, sure = idfilter.marked(rows, "id", ids.limit(0), bits, min(bits, 10))
+    assert maybe.count() == 0 and sure.count() == 3500
+
+
 def test_estimate_is_close():
     r = np.random.default_rng(1)
     for share in (0.5, 0.75, 0.9):
