@@ -20,13 +20,14 @@ CLASSES = frozenset(
     "URL XML_entity XML_tag abbreviation action_word amount date email_address emoticon hashtag measurement mention number ordinal regular semester symbol time".split()
 )
 LANGUAGES = {"de": "de", "de_CMC": "de", "en": "en", "en_PTB": "en"}
+DEFAULT = "de_CMC"
 
 
 @dataclass(frozen=True)
 class Options:
-    """How to segment; plain values only, so that it goes to workers as it is."""
+    """How to segment; plain values only, so that it goes to workers as it is. A language without rules means the default one."""
 
-    language: str = "de_CMC"
+    language: str = DEFAULT
     split_camel_case: bool = False
     split_sentences: bool = True
     character_offsets: bool = False
@@ -35,7 +36,7 @@ class Options:
 
     def __post_init__(self):
         if self.language not in LANGUAGES:
-            raise ValueError(f"unknown language {self.language!r}; known are {', '.join(LANGUAGES)}")
+            object.__setattr__(self, "language", DEFAULT)
         if self.lexicon is None:
             object.__setattr__(self, "lexicon", load(self.code, self.lexicon_folder))
 

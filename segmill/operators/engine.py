@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,26 +136,50 @@ def _escaped(x: str | None) -> str | None:
     return x if x is None else x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
 
 
-def _kernel(units_of, options_of, xml_sentences: str | None, strip_tags: bool, escape: bool, id_kind: pa.DataType, name: str):
-    schema = pa.schema([("doc_id", id_kind), *_FIELDS])
+def _kernel(units_of, options_of, xml_sentences: str | None, strip_tags: bool, escape: bool, id_kind: pa.DataType, fields: list[tuple[str, pa.DataType]], nested: bool):
+    """Batches of documents to batches of tokens; ``nested`` keeps a row a document, with its language and an array of tokens."""
+    names = [n for n, _ in fields]
+    numbers, attributes = [n for n in names if n not in _PIECE], [n for n in names if n in _PIECE]
+    at = {"par_no": 0, "sent_no": 1, "tok_no": 2}
+    kinds = pa.struct([pa.field(n, k) for n, k in fields])
+    schema = pa.schema([("doc_id", id_kind), ("lang", pa.string()), ("tokens", pa.list_(kinds))]) if nested else pa.schema([("doc_id", id_kind), *fields])
+
+    def made(docs: list, langs: list, ends: list[int], none: list[bool], columns: dict[str, list]) -> pa.RecordBatch:
+        arrays = [pa.array(columns[n], k) for n, k in fields]
+        if not nested:
+            sizes = np.diff([0, *ends])
+            of = pa.array(np.repeat(np.arange(len(docs)), sizes), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(docs, id_kind).take(of), *arrays], schema=schema)
+        inner = pa.StructArray.from_arrays(arrays, fields=list(kinds))
+        lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), inner, mask=pa.array(none, pa.bool_()) if any(none) else None)
+        return pa.RecordBatch.from_arrays([pa.array(docs, id_kind), pa.array(langs, pa.string()), lists], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[] for _ in schema]
+        docs, langs, ends, none = [], [], [], []
+        columns: dict[str, list] = {n: [] for n in names}
+        first = columns[names[0]]
         for batch in batches:
             for doc, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
-                options = options_of(lang)
-                if text is None or options is None:
-                    continue
-                for no, sent, i, t in _rows(units_of(text, options), options, xml_sentences, strip_tags):
-                    row = [doc, no, sent, i, *(getattr(t, f) for f in _PIECE)]
-                    if escape and not t.markup:
-                        row[4], row[9] = _escaped(t.text), _escaped(t.original_spelling)
-                    for c, v in zip(columns, row):
-                        c.append(v)
-                if len(columns[0]) >= BATCH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-                    columns = [[] for _ in schema]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                if text is not None:
+                    options = options_of(lang)
+                    rows = list(_rows(units_of(text, options), options, xml_sentences, strip_tags))
+                    for n in numbers:
+                        columns[n] += [r[at[n]] for r in rows]
+                    for n in attributes:
+                        values = [getattr(r[3], n) for r in rows]
+                        if escape and n in ("text", "original_spelling"):
+                            values = [v if r[3].markup else _escaped(v) for v, r in zip(values, rows)]
+                        columns[n] += values
+                docs.append(doc)
+                langs.append(lang)
+                ends.append(len(first))
+                none.append(text is None)
+                if len(first) >= BATCH:
+                    yield made(docs, langs, ends, none, columns)
+                    docs, langs, ends, none = [], [], [], []
+                    columns = {n: [] for n in names}
+                    first = columns[names[0]]
+        yield made(docs, langs, ends, none, columns)
 
     return run
 
@@ -162,11 +187,14 @@ def _kernel(units_of, options_of, xml_sentences: str | None, strip_tags: bool, e
 _SPARK = {pa.int32(): T.IntegerType(), pa.string(): T.StringType(), pa.bool_(): T.BooleanType()}
 
 
-def _run(df: DataFrame, text: str, id_col: str, lang: str | None, options: Options, units_of, xml_sentences, strip_tags, escape) -> DataFrame:
+def _run(df: DataFrame, text: str, id_col: str, lang: str | None, options: Options, units_of, xml_sentences, strip_tags, escape, fields: Iterable[str] | None, nested: bool) -> DataFrame:
     if not isinstance(df, DataFrame):
         raise TypeError("a DataFrame with a text column is needed, not a bare text")
     if not isinstance(df.schema[text].dataType, T.StringType):
         raise TypeError(f"{text} is not a text column")
+    wanted = [(n, k) for n, k in _FIELDS if fields is None or n in set(fields)]
+    if not wanted or (fields is not None and set(fields) - {n for n, _ in _FIELDS}):
+        raise ValueError(f"fields of a token are {', '.join(n for n, _ in _FIELDS)}")
     by_code = {options.code: options}
     kind = df.schema[id_col].dataType
     arrow = pa.string() if isinstance(kind, T.StringType) else pa.int64()
@@ -176,34 +204,48 @@ def _run(df: DataFrame, text: str, id_col: str, lang: str | None, options: Optio
         (F.col(f"`{lang}`").cast("string") if lang else F.lit(None).cast("string")).alias("lang"),
     )
 
-    def options_of(code: str | None) -> Options | None:
-        if not lang:
+    def options_of(code: str | None) -> Options:
+        known = LANGUAGES.get(code)
+        if known is None:
             return options
-        if code not in LANGUAGES:
-            return None
-        if LANGUAGES[code] not in by_code:
-            by_code[LANGUAGES[code]] = Options(code, options.split_camel_case, options.split_sentences, options.character_offsets, options.lexicon_folder)
-        return by_code[LANGUAGES[code]]
+        if known not in by_code:
+            by_code[known] = Options(code, options.split_camel_case, options.split_sentences, options.character_offsets, options.lexicon_folder)
+        return by_code[known]
 
-    schema = T.StructType([T.StructField("doc_id", T.StringType() if arrow == pa.string() else T.LongType()), *(T.StructField(n, _SPARK[k]) for n, k in _FIELDS)])
-    return source.mapInArrow(_kernel(units_of, options_of, xml_sentences, strip_tags, escape, arrow, text), schema)
+    own = T.StructField("doc_id", T.StringType() if arrow == pa.string() else T.LongType())
+    token = T.StructType([T.StructField(n, _SPARK[k]) for n, k in wanted])
+    schema = T.StructType([own, T.StructField("lang", T.StringType()), T.StructField("tokens", T.ArrayType(token))]) if nested else T.StructType([own, *token])
+    return source.mapInArrow(_kernel(units_of, options_of, xml_sentences, strip_tags, escape, arrow, wanted, nested), schema)
 
 
-def tokenize_text(df: DataFrame, options: Options | None = None, text: str = "text", id_col: str = "doc_id", lang: str | None = None, separator: str | None = None, xml_sentences: str | None = None) -> DataFrame:
+def tokenize_text(
+    df: DataFrame,
+    options: Options | None = None,
+    text: str = "text",
+    id_col: str = "doc_id",
+    lang: str | None = None,
+    separator: str | None = None,
+    xml_sentences: str | None = None,
+    fields: Iterable[str] | None = None,
+    nested: bool = False,
+) -> DataFrame:
     """The tokens of the texts in ``df``, flat: doc_id, par_no, sent_no, tok_no and the token's fields.
 
     ``separator`` cuts a text into paragraphs first (``single_newlines`` or
     ``empty_lines``); None takes each text as one. ``lang`` names a column with the
-    language of each row; rows in a language without rules give no tokens, and null
-    texts give none either. With ``xml_sentences`` sentence tags are put in and texts
-    XML-escaped. The pass is narrow: no shuffle, at any size.
+    language of each row; rows in a language without rules, or with none, are taken in
+    that of ``options``. Null texts give no tokens. With ``xml_sentences`` sentence tags
+    are put in and texts XML-escaped. ``fields`` names the columns that are wanted.
+    ``nested`` gives a row a document instead (doc_id, lang, tokens), whose tokens stand
+    in an array: what is asked of a document then needs no shuffle; null texts have null
+    tokens. The pass is narrow at any size.
     """
     options = options or Options()
     if separator not in (None, "single_newlines", "empty_lines"):
         raise ValueError("paragraphs are separated by single_newlines or empty_lines")
     if xml_sentences and not options.split_sentences:
         raise ValueError("sentence tags need sentence splitting")
-    return _run(df, text, id_col, lang, options, lambda t, o: text_units(t, o, separator), xml_sentences, False, bool(xml_sentences))
+    return _run(df, text, id_col, lang, options, lambda t, o: text_units(t, o, separator), xml_sentences, False, bool(xml_sentences), fields, nested)
 
 
 def tokenize_xml(
@@ -217,19 +259,22 @@ def tokenize_xml(
     lang: str | None = None,
     xml_sentences: str | None = None,
     html: bool = False,
+    fields: Iterable[str] | None = None,
+    nested: bool = False,
 ) -> DataFrame:
     """The tokens of XML documents, one a row of ``df``; tags are tokens unless stripped.
 
     Tags in ``eos_tags`` end sentences; elements in ``prune_tags`` are left out with all
     they hold. Texts are escaped again unless tags are stripped and none put in.
-    Ill-formed XML fails; with ``html`` pages are parsed permissively instead.
+    Ill-formed XML fails; with ``html`` pages are parsed permissively instead. ``lang``,
+    ``fields`` and ``nested`` are those of ``tokenize_text``.
     """
     options = options or Options()
     eos, prune = frozenset(eos_tags or ()), frozenset(prune_tags or ())
     if prune and options.character_offsets:
         raise ValueError("pruned documents have no character offsets")
     escape = bool(xml_sentences) or not strip_tags
-    return _run(df, xml, id_col, lang, options, lambda t, o: markup_units(t, o, eos, prune, html), xml_sentences, strip_tags, escape)
+    return _run(df, xml, id_col, lang, options, lambda t, o: markup_units(t, o, eos, prune, html), xml_sentences, strip_tags, escape, fields, nested)
 
 
 def strip_tags(tokens: DataFrame) -> DataFrame:
@@ -241,9 +286,10 @@ def escape_xml(text: Column) -> Column:
     return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def extra_info() -> Column:
-    """``SpaceAfter=No`` and ``OriginalSpelling="…"`` of a token row, joined."""
-    return F.concat_ws(", ", F.when(~F.col("space_after"), F.lit("SpaceAfter=No")), F.when(F.col("original_spelling").isNotNull(), F.concat(F.lit('OriginalSpelling="'), F.col("original_spelling"), F.lit('"'))))
+def extra_info(token: Column | None = None) -> Column:
+    """``SpaceAfter=No`` and ``OriginalSpelling="…"`` of a token row or of a token in an array, joined."""
+    of = (lambda n: token[n]) if token is not None else F.col
+    return F.concat_ws(", ", F.when(~of("space_after"), F.lit("SpaceAfter=No")), F.when(of("original_spelling").isNotNull(), F.concat(F.lit('OriginalSpelling="'), of("original_spelling"), F.lit('"'))))
 
 
 def sentence_texts(tokens: DataFrame) -> DataFrame:
@@ -253,10 +299,30 @@ def sentence_texts(tokens: DataFrame) -> DataFrame:
     return got.select("doc_id", "sent_no", "n_tokens", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("sentence"))
 
 
-def detokenized() -> Column:
-    """The text of a document's tokens put together again, each with its space; an aggregate over token rows."""
-    parts = F.sort_array(F.collect_list(F.struct("par_no", "tok_no", F.concat(F.coalesce("original_spelling", "text"), F.when(F.col("space_after"), " ").otherwise("")).alias("piece"))))
-    return F.btrim(F.array_join(F.transform(parts, lambda x: x["piece"]), ""))
+def records(tokens: Column) -> Column:
+    """An array of tokens as (text, token_class, extra_info), the form that given tokens have for the sentence functions of SQL."""
+    return F.transform(tokens, lambda t: F.struct(t["text"].alias("text"), t["token_class"].alias("token_class"), extra_info(t).alias("extra_info")))
+
+
+def joined(tokens: Column, piece) -> Column:
+    """A string of what ``piece`` makes of each token of an array."""
+    return F.array_join(F.transform(tokens, piece), "")
+
+
+def spelled(token: Column) -> Column:
+    """A token as its text has it."""
+    return F.coalesce(token["original_spelling"], token["text"])
+
+
+def detokenized(tokens: Column) -> Column:
+    """The text of an array of tokens put together again, each with its space."""
+    return F.btrim(joined(tokens, lambda t: F.concat(spelled(t), F.when(t["space_after"], " ").otherwise(""))))
+
+
+def laid_out(tokens: Column) -> Column:
+    """The tokens of an array at their places, with spaces in between."""
+    ends = F.transform(tokens, lambda t: t["char_end"])
+    return F.array_join(F.transform(tokens, lambda t, i: F.concat(F.repeat(F.lit(" "), t["char_start"] - F.coalesce(F.get(ends, i - 1), F.lit(0))), spelled(t))), "")
 
 
 def merge_empty_sentences(tokens: DataFrame) -> DataFrame:

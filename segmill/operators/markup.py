@@ -75,10 +75,10 @@ def parse_xml(xml: str, eos_tags: Iterable[str] | None = None, prune_tags: Itera
     parser = expat.ParserCreate("utf-8")
     parser.ordered_attributes = True
     parser.buffer_text = False
-    tag_end = 0
+    tag_end, empty, literal = 0, False, False
 
     def start(name, attributes):
-        nonlocal tag_end
+        nonlocal tag_end, empty
         begin, quote = at(parser.CurrentByteIndex), ""
         i = begin
         while xml[i] != ">" or quote:
@@ -87,25 +87,31 @@ def parse_xml(xml: str, eos_tags: Iterable[str] | None = None, prune_tags: Itera
             elif xml[i] in "\"'":
                 quote = xml[i]
             i += 1
-        tag_end = i + 1
+        tag_end, empty = i + 1, xml[i - 1] == "/"
         builder.start(name, list(zip(attributes[::2], attributes[1::2])), (begin, tag_end))
 
     def end(name):
+        nonlocal empty
         begin = at(parser.CurrentByteIndex)
-        span = (begin, xml.index(">", begin) + 1) if xml.startswith("</", begin) else (tag_end, tag_end)  # of an empty element
-        builder.end(name, span)
+        builder.end(name, (tag_end, tag_end) if empty else (begin, xml.index(">", begin) + 1))  # an empty element's end has no width
+        empty = False
+
+    def cdata(inside):
+        nonlocal literal
+        literal = inside
 
     def characters(data):
         begin = at(parser.CurrentByteIndex)
-        if xml.startswith(data, begin):
-            spans = [(begin + k, begin + k + 1) for k in range(len(data))]
-        elif xml[begin] == "&":
+        if xml[begin] == "&" and not literal:
             spans = [(begin, xml.index(";", begin) + 1)] * len(data)
+        elif xml.startswith(data, begin):
+            spans = [(begin + k, begin + k + 1) for k in range(len(data))]
         else:  # a line end of two characters
             spans = [(begin, begin + 2 if xml.startswith("\r\n", begin) else begin + 1)] * len(data)
         builder.characters(data, spans)
 
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, characters
+    parser.StartCdataSectionHandler, parser.EndCdataSectionHandler = lambda: cdata(True), lambda: cdata(False)
     try:
         parser.Parse(raw, True)
     except expat.ExpatError as e:

@@ -1,7 +1,7 @@
 """The registered queries of the segmentation engine and their SQL forms.
 
-Each query runs over its whole tables. German and English documents are segmented in
-their language; other languages have no rules and are left out by a visible filter.
+Each query runs over its whole tables. Documents are segmented in their language, those
+in a language without rules in German. The golden rows have a module of their own.
 """
 
 from __future__ import annotations
@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import lexicons, native
+from ..functions import lexicons, native, sqludf
 from ..functions.lexicons import EOS_TAGS
 from ..operators import evaluate
 from ..operators.cascade import Options
-from ..operators.engine import detokenized, escape_xml, merge_empty_sentences, sentence_texts, tokenize_text, tokenize_xml
+from ..operators.engine import detokenized, escape_xml, joined, laid_out, merge_empty_sentences, sentence_texts, spelled, tokenize_text, tokenize_xml
 from ..sources.text import paragraphs
+from . import golden
 
-_KNOWN = ("de", "en")
 _WORD_RUN = r"[\p{L}\p{N}_]+"
 
 
@@ -34,22 +34,18 @@ def _spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * n) if df.rdd.getNumPartitions() < n else df
 
 
-def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spread(_docs(spark, sf_dir).filter(F.col("lang").isin(*_KNOWN)))
-
-
-def _tokens(spark: SparkSession, sf_dir: str, options: Options | None = None, **how) -> DataFrame:
-    return tokenize_text(_known(spark, sf_dir), options, lang="lang", **how)
+def _tokens(spark: SparkSession, sf_dir: str, fields: list[str], split_sentences: bool = False, character_offsets: bool = False, separator: str | None = None) -> DataFrame:
+    """A row a document with the array of its tokens."""
+    options = Options(split_sentences=split_sentences, character_offsets=character_offsets)
+    return tokenize_text(_spread(_docs(spark, sf_dir)), options, lang="lang", separator=separator, fields=fields, nested=True)
 
 
 def token_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens by language and class."""
-    docs = _known(spark, sf_dir)
-    tokens = tokenize_text(docs, lang="lang", separator="single_newlines")
-    # Counts by document come first and are small; the join brings in the language.
-    per = tokens.groupBy("doc_id", "token_class").agg(F.count("*").alias("n"))
-    langs = _docs(spark, sf_dir).select("doc_id", "lang")
-    return per.join(langs, "doc_id").groupBy("lang", "token_class").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"))
+    """Tokens by language and class. A document's counts come from its own row, so only sums are shuffled."""
+    docs = _tokens(spark, sf_dir, ["token_class"], separator="single_newlines").select("lang", F.col("tokens.token_class").alias("c"))
+    per = docs.select("lang", "c", F.explode(F.array_distinct("c")).alias("token_class"))
+    counts = per.select("lang", "token_class", F.size(F.filter("c", lambda x: x == F.col("token_class"))).alias("n"))
+    return counts.groupBy("lang", "token_class").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"))
 
 
 def spaces_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,35 +98,89 @@ def abbreviation_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy(F.lower("match").alias("abbreviation")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
-def _spelled() -> Column:
-    return F.coalesce("original_spelling", "text")
-
-
 def tokens_conserve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The characters of each document's tokens, without white space: none is lost or made up."""
-    parts = F.sort_array(F.collect_list(F.struct("par_no", "tok_no", _spelled().alias("x"))))
-    whole = F.regexp_replace(F.array_join(F.transform(parts, lambda x: x["x"]), ""), r"[ \t\n\r\f]+", "")
-    tokens = _tokens(spark, sf_dir, Options(split_sentences=False), separator="single_newlines")
-    return tokens.groupBy("doc_id").agg(F.md5(whole).alias("chars_md5"))
+    tokens = _tokens(spark, sf_dir, ["text", "original_spelling"], separator="single_newlines")
+    return tokens.select("doc_id", F.md5(F.regexp_replace(joined(F.col("tokens"), spelled), r"[ \t\n\r\f]+", "")).alias("chars_md5"))
 
 
 def tokens_detokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each document put together from its tokens and the spaces after them."""
-    return _tokens(spark, sf_dir, Options(split_sentences=False)).groupBy("doc_id").agg(F.md5(detokenized()).alias("text_md5"))
+    return _tokens(spark, sf_dir, ["text", "original_spelling", "space_after"]).select("doc_id", F.md5(detokenized(F.col("tokens"))).alias("text_md5"))
 
 
 def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document the tokens whose place in the text holds something else."""
-    tokens = _tokens(spark, sf_dir, Options(split_sentences=False, character_offsets=True), separator="single_newlines")
-    both = tokens.select("doc_id", "char_start", "char_end", _spelled().alias("x")).join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    wrong = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start")) != F.col("x")
-    return both.groupBy("doc_id").agg(F.count_if(wrong).alias("n_wrong"))
+    """The text of each document laid out from its tokens and their places."""
+    tokens = _tokens(spark, sf_dir, ["text", "original_spelling", "char_start", "char_end"], character_offsets=True, separator="single_newlines")
+    return tokens.select("doc_id", F.md5(laid_out(F.col("tokens"))).alias("text_md5"))
 
 
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document and their lengths in tokens."""
-    per = _tokens(spark, sf_dir).groupBy("doc_id", "sent_no").agg(F.count("*").alias("n"))
-    return per.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.max("n").alias("longest"), F.sum("n").alias("n_tokens"))
+    t = _tokens(spark, sf_dir, ["sent_no"], split_sentences=True).select("doc_id", F.col("tokens.sent_no").alias("s"))
+    ends = F.filter(F.transform("s", lambda x, i: F.when(~F.get("s", i + 1).eqNullSafe(x), i + 1)), lambda x: x.isNotNull())
+    t = t.withColumn("ends", ends)
+    lengths = F.transform("ends", lambda e, i: (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long"))
+    return t.filter(F.size("s") > 0).select("doc_id", F.size("ends").cast("long").alias("n_sentences"), F.array_max(lengths).alias("longest"), F.size("s").cast("long").alias("n_tokens"))
+
+
+_DECOMPOSED = {"ä": "a\u0308", "ö": "o\u0308", "ü": "u\u0308", "é": "e\u0301", "è": "e\u0300", "ñ": "n\u0303", "ç": "c\u0327"}
+
+
+def nfc_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with letters and marks apart, composed by the function that the first pass uses."""
+    apart = F.col("text")
+    for whole, parts in _DECOMPOSED.items():
+        apart = F.replace(apart, F.lit(whole), F.lit(parts))
+    docs = _docs(spark, sf_dir).select("doc_id", sqludf.nfc(apart).alias("t"), F.length(apart).cast("long").alias("n_apart"))
+    return docs.select("doc_id", F.md5("t").alias("text_md5"), "n_apart")
+
+
+def _as_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as XML: a p element a line, and an element to prune."""
+    body = F.replace(escape_xml(F.col("text")), F.lit("\n"), F.lit("</p><p>"))
+    return _docs(spark, sf_dir).select("doc_id", "lang", F.concat(F.lit("<doc><p>"), body, F.lit("</p><del>weg <b>damit</b></del></doc>")).alias("xml"))
+
+
+def document_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tags, chunks and characters of the documents as XML, a p element a line."""
+    docs = _spread(_as_xml(spark, sf_dir))
+    t = tokenize_xml(docs, Options(split_sentences=False), ["p"], prune_tags=["del"], lang="lang", fields=["par_no", "text", "original_spelling", "markup", "markup_class"], nested=True)
+    of = lambda kind: F.size(F.filter("tokens", lambda x: x["markup_class"] == kind)).cast("long")
+    plain = F.filter("tokens", lambda x: ~x["markup"])
+    return t.select("doc_id", of("start").alias("n_start"), of("end").alias("n_end"), (F.array_max("tokens.par_no") + 1).cast("long").alias("n_chunks"), F.md5(F.regexp_replace(joined(plain, spelled), r"\s+", "")).alias("chars_md5"))
+
+
+def document_tags_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the documents as XML, without tags and with entities resolved."""
+    docs = _spread(_as_xml(spark, sf_dir))
+    t = tokenize_xml(docs, Options(split_sentences=False), ["p"], strip_tags=True, prune_tags=["del"], lang="lang", fields=["text", "original_spelling", "markup"], nested=True)
+    return t.select("doc_id", F.size(F.filter("tokens", lambda x: x["markup"])).cast("long").alias("n_tags"), F.md5(F.regexp_replace(joined(F.col("tokens"), spelled), r"\s+", "")).alias("chars_md5"))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White-space words as gold, the baseline's tokens as system, side by side; a word with an end mark ends a sentence on either side."""
+    docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    words = docs.select("doc_id", F.posexplode(F.filter(F.split("text", r"[ \t\n\r\f]+"), lambda x: x != "")).alias("tok_no", "token"))
+
+    def side(tokens: DataFrame) -> DataFrame:
+        parts = F.when(F.col("token").rlike(r"[.!?]$"), F.array("token", F.lit(""))).otherwise(F.array("token"))
+        rows = tokens.select(F.col("doc_id").alias("file"), "tok_no", F.posexplode(parts).alias("k", "token"))
+        return evaluate.characters(rows.select("file", (F.col("tok_no") * 2 + F.col("k")).alias("line_no"), "token"))
+
+    return evaluate.aligned(side(words), side(evaluate.baseline(docs)))
+
+
+def evaluation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, precision, recall and F1 of the baseline against white-space words, by item and in all."""
+    per = evaluate.scores(_scored(spark, sf_dir))
+    both = per.withColumn("file", F.col("file").cast("string")).unionByName(evaluate.total(per))
+    return both.select(*[F.col(c) if c == "file" else F.round(c, 9).alias(c) if c[-2:] in ("_p", "_r", "f1") else F.col(c).cast("long").alias(c) for c in both.columns])
+
+
+def evaluation_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The concordance of the baseline's wrong boundaries."""
+    return evaluate.concordance(_scored(spark, sf_dir), 20)
 
 
 def benchmark_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,21 +201,22 @@ def baseline_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, sentences and markup of the pages, parsed permissively, without scripts and styles."""
     pages = _spread(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("xml")))
-    t = tokenize_xml(pages, Options("en_PTB"), EOS_TAGS, prune_tags=["script", "style"], html=True)
-    return t.groupBy("doc_id").agg(F.count_if(F.col("markup")).alias("n_tags"), F.count_if(~F.col("markup")).alias("n_tokens"), F.count_distinct("sent_no").alias("n_sentences"))
+    t = tokenize_xml(pages, Options("en_PTB"), EOS_TAGS, prune_tags=["script", "style"], html=True, fields=["sent_no", "markup"], nested=True)
+    tags = F.size(F.filter("tokens", lambda x: x["markup"])).cast("long")
+    return t.filter(F.size("tokens") > 0).select("doc_id", tags.alias("n_tags"), (F.size("tokens") - tags).alias("n_tokens"), F.size(F.array_distinct("tokens.sent_no")).cast("long").alias("n_sentences"))
 
 
 def role_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the conversations by role."""
     turns = _table(spark, sf_dir, "conversations").select(F.concat_ws(":", "role", "conv_id", "turn").alias("doc_id"), "text")
-    t = tokenize_text(_spread(turns), Options("en_PTB", split_sentences=False))
-    return t.groupBy(F.substring_index("doc_id", ":", 1).alias("role")).agg(F.count("*").alias("n_tokens"))
+    t = tokenize_text(_spread(turns), Options("en_PTB", split_sentences=False), fields=["tok_no"], nested=True)
+    return t.groupBy(F.substring_index("doc_id", ":", 1).alias("role")).agg(F.sum(F.size("tokens")).alias("n_tokens"))
 
 
 def camel_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of each class in German documents with camel case split."""
-    docs = _spread(_docs(spark, sf_dir).filter("lang = 'de'"))
-    return tokenize_text(docs, Options("de_CMC", split_camel_case=True, split_sentences=False)).groupBy("token_class").agg(F.count("*").alias("n_tokens"))
+    """Tokens of each class with camel case split, all documents in German."""
+    docs = _spread(_docs(spark, sf_dir))
+    return tokenize_text(docs, Options("de_CMC", split_camel_case=True, split_sentences=False), fields=["token_class"]).groupBy("token_class").agg(F.count("*").alias("n_tokens"))
 
 
 _UNITS = [(1, 0, 0, True), (1, 0, 1, False), (1, 1, 0, False), (1, 2, 0, True), (2, 0, 0, False), (2, 1, 0, True), (2, 1, 1, True), (2, 2, 0, False), (3, 0, 0, False)]
@@ -218,11 +269,16 @@ QUERIES = {
     "camel_case": camel_case,
     "merged_sentences": merged_sentences,
     "merged_line_sentences": merged_line_sentences,
+    "nfc_md5": nfc_md5,
+    "document_markup": document_markup,
+    "document_tags_stripped": document_tags_stripped,
+    "evaluation_scores": evaluation_scores,
+    "evaluation_errors": evaluation_errors,
 }
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | golden.queries()
 
 
 def _runs_sql(pattern: str) -> str:
@@ -230,7 +286,24 @@ def _runs_sql(pattern: str) -> str:
         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{pattern}')) AS m FROM documents) GROUP BY doc_id"""
 
 
-_KNOWN_SQL = "lang IN ('de', 'en')"
+_COUNTS = [f"{k}_{c}" for k in ("tok", "sent") for c in ("tp", "fp", "fn")]
+_RATIOS = [f"{k}_{m}" for k in ("tok", "sent") for m in ("p", "r", "f1")]
+_WEIGHT = {"tok": "(tok_tp + tok_fn)", "sent": "(sent_tp + sent_fp)"}
+#: Ends of tokens and sentences as places in the text without white space; a ratio without a denominator is null.
+_SCORED_SQL = r"""WITH w AS (SELECT item_id AS file, text, list_filter(regexp_split_to_array(text, '[ \t\n\r\f]+'), lambda x: x <> '') AS g,
+        list_filter(regexp_split_to_array(regexp_replace(text, '([.!?,;:+*()"''–])', ' \1 ', 'g'), '[ \t\n\r\f]+'), lambda x: x <> '') AS s FROM benchmark),
+    e AS (SELECT file, 'g' AS side, len(array_to_string(g[1:i], '')) - 1 AS pos, regexp_matches(g[i], '[.!?]$') OR i = len(g) AS ends FROM (SELECT file, g, unnest(range(1, len(g) + 1)) AS i FROM w)
+        UNION ALL SELECT file, 's', len(array_to_string(s[1:i], '')) - 1, regexp_matches(s[i], '[.!?]$') OR i = len(s) FROM (SELECT file, s, unnest(range(1, len(s) + 1)) AS i FROM w)),
+    b AS (SELECT file, pos, bool_or(side = 'g') AS g, bool_or(side = 's') AS s, bool_or(side = 'g' AND ends) AS gs, bool_or(side = 's' AND ends) AS ss FROM e GROUP BY file, pos),
+    c AS (SELECT file, count(*) FILTER (g AND s) AS tok_tp, count(*) FILTER (s AND NOT g) AS tok_fp, count(*) FILTER (g AND NOT s) AS tok_fn,
+        count(*) FILTER (gs AND ss) AS sent_tp, count(*) FILTER (ss AND NOT gs) AS sent_fp, count(*) FILTER (gs AND NOT ss) AS sent_fn FROM b GROUP BY file),
+    m AS (SELECT *, tok_tp / nullif(tok_tp + tok_fp, 0) AS tok_p, tok_tp / nullif(tok_tp + tok_fn, 0) AS tok_r, 2 * tok_tp / nullif(2 * tok_tp + tok_fp + tok_fn, 0) AS tok_f1,
+        sent_tp / nullif(sent_tp + sent_fp, 0) AS sent_p, sent_tp / nullif(sent_tp + sent_fn, 0) AS sent_r, 2 * sent_tp / nullif(2 * sent_tp + sent_fp + sent_fn, 0) AS sent_f1 FROM c)
+    """
+#: A chunk a line with words, since each p element ends sentences; what follows the last one is a chunk of its own, unless no line has words.
+_MARKUP_SQL = r"""SELECT doc_id, CAST(1 + len(p) AS BIGINT) AS n_start, CAST(1 + len(p) AS BIGINT) AS n_end,
+        CAST(greatest(len(list_filter(p, lambda x: regexp_matches(x, '\S'))), 1) + CASE WHEN regexp_matches(text, '\S') AND NOT regexp_matches(p[len(p)], '\S') THEN 1 ELSE 0 END AS BIGINT) AS n_chunks,
+        md5(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\s+', '', 'g')) AS chars_md5 FROM (SELECT doc_id, text, string_split(text, chr(10)) AS p FROM documents)"""
 _BLANK = r"'^[ \t\n\r\f]*$'"
 
 
@@ -239,7 +312,18 @@ def oracle_sql() -> dict[str, str]:
     units = ", ".join(f"({d}, {p}, {u}, {str(r).lower()})" for d, p, u, r in _UNITS)
     lines = """l AS (SELECT doc_id, i - 1 AS line_no, parts[i] || CASE WHEN i < len(parts) THEN chr(10) ELSE '' END AS line
         FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM d)) WHERE NOT (i = len(parts) AND parts[i] = ''))"""
-    return {
+    apart = "text"
+    for whole, parts in _DECOMPOSED.items():
+        apart = f"replace({apart}, '{whole}', '{parts}')"
+    return golden.oracle_sql() | {
+        "nfc_md5": f"SELECT doc_id, md5(nfc_normalize({apart})) AS text_md5, CAST(length({apart}) AS BIGINT) AS n_apart FROM documents",
+        "document_markup": _MARKUP_SQL,
+        "document_tags_stripped": rf"SELECT doc_id, CAST(0 AS BIGINT) AS n_tags, md5(regexp_replace(text, '\s+', '', 'g')) AS chars_md5 FROM documents",
+        "evaluation_scores": _SCORED_SQL + f"""SELECT CAST(file AS VARCHAR) AS file, {', '.join(_COUNTS)}, {', '.join(f'round({r}, 9) AS {r}' for r in _RATIOS)} FROM m
+            UNION ALL SELECT 'TOTAL', {', '.join(f'CAST(sum({c}) AS BIGINT)' for c in _COUNTS)}, {', '.join(f'round(sum({w} * {r}) / sum({w}), 9)' for r in _RATIOS for w in [_WEIGHT[r.partition('_')[0]]])} FROM m""",
+        "evaluation_errors": _SCORED_SQL + """SELECT file, CAST(pos AS BIGINT) AS pos, error, substring(t, greatest(pos - 19, 1), least(pos + 1, 21)) || error || substring(t, pos + 2, 20) AS line
+            FROM (SELECT file, pos, unnest(list_filter([CASE WHEN g AND NOT s THEN '■' END, CASE WHEN s AND NOT g THEN '□' END, CASE WHEN gs AND NOT ss THEN '●' END, CASE WHEN ss AND NOT gs THEN '○' END], lambda x: x IS NOT NULL)) AS error FROM b)
+            JOIN (SELECT item_id AS file, regexp_replace(text, '[ \t\n\r\f]+', '', 'g') AS t FROM benchmark) USING (file)""",
         "spaces_md5": r"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS text_md5 FROM documents",
         "baseline_tokens": r"""SELECT doc_id, CAST(i - 1 AS INTEGER) AS tok_no, t[i] AS token FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (
             SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?,;:+*()"''–])', ' \1 ', 'g'), '[ \t\n\r\f]+'), lambda x: x <> '') AS t FROM documents))""",
@@ -262,9 +346,9 @@ def oracle_sql() -> dict[str, str]:
         "controls_stripped": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), '[\x{AD}\x{61C}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}]', '', 'g')) AS text_md5 FROM documents""",
         "abbreviation_candidates": rf"""SELECT lower(m) AS abbreviation, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{{L}}+\.')) AS m FROM documents)
             WHERE lower(m) IN (SELECT * FROM (VALUES {words})) GROUP BY lower(m)""",
-        "tokens_conserve_text": rf"SELECT doc_id, md5(regexp_replace(text, '[ \t\n\r\f]+', '', 'g')) AS chars_md5 FROM documents WHERE {_KNOWN_SQL}",
-        "tokens_detokenized": rf"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS text_md5 FROM documents WHERE {_KNOWN_SQL}",
-        "token_offsets": f"SELECT doc_id, CAST(0 AS BIGINT) AS n_wrong FROM documents WHERE {_KNOWN_SQL}",
+        "tokens_conserve_text": rf"SELECT doc_id, md5(regexp_replace(text, '[ \t\n\r\f]+', '', 'g')) AS chars_md5 FROM documents",
+        "tokens_detokenized": rf"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS text_md5 FROM documents",
+        "token_offsets": r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t\n\r\f]', ' ', 'g'), ' +$', '')) AS text_md5 FROM documents",
         "merged_sentences": f"""WITH u(doc_id, par_no, unit_sent, real) AS (VALUES {units}),
             n AS (SELECT *, greatest(sum(CASE WHEN real THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY par_no, unit_sent) - 1, 0) AS s FROM u)
             SELECT doc_id, par_no, CAST(unit_sent * 2 + k AS INTEGER) AS tok_no, CAST(s AS INTEGER) AS sent_no FROM n, (VALUES (0), (1)) AS t(k)""",

@@ -125,8 +125,7 @@ def test_drop_empty_hands_flags_on():
 
 
 def test_checks():
-    with pytest.raises(ValueError):
-        Options("fr")
+    assert Options("fr") == Options("de_CMC")
     with pytest.raises(ValueError):
         checked(Piece("x", "nonsense"))
     with pytest.raises(ValueError):

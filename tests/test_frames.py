@@ -26,7 +26,7 @@ def test_tokens_by_language(docs):
     got = {}
     for r in tokenize_text(docs, lang="lang").orderBy("doc_id", "par_no", "tok_no").collect():
         got.setdefault(r.doc_id, []).append((r.sent_no, r.text))
-    assert set(got) == {1, 2}
+    assert set(got) == {1, 2, 3, 6}  # others in the default language
     assert got[2] == [(0, "Do"), (0, "n't"), (0, "go"), (0, "."), (1, "I"), (1, "ca"), (1, "n't"), (1, ".")]
     assert [t for s, t in got[1] if s == 2] == ["Und", "z.", "B.", "das", "?", ":)"]
 
@@ -37,7 +37,8 @@ def test_partitions_do_not_matter(docs):
 
 
 def test_detokenized(docs):
-    got = dict(tokenize_text(docs.filter("doc_id = 1"), Options(split_sentences=False)).groupBy("doc_id").agg(detokenized()).collect())
+    tokens = tokenize_text(docs.filter("doc_id = 1"), Options(split_sentences=False), nested=True)
+    got = dict(tokens.select("doc_id", detokenized(F.col("tokens"))).collect())
     assert got == {1: "Das ist gut. Ja! Und z.B. das? :)"}
 
 
@@ -152,6 +153,7 @@ def test_cli(spark, tmp_path):
     run = lambda *a: [r.value for r in cli.run(spark, cli.arguments([str(tmp_path / "a.txt"), "-o", "x", *a])).orderBy("doc_id", "ord").collect()]
     assert run() == ["Das", "ist", "gut", ".", "Ja", "!"]
     assert run("-t", "-e", "--character-offsets", "--split-sentences") == ["Das\tregular\t\t0, 3", "ist\tregular\t\t4, 7", "gut\tregular\tSpaceAfter=No\t8, 11", ".\tsymbol\t\t11, 12\n", "Ja\tregular\tSpaceAfter=No\t13, 15", "!\tsymbol\t\t15, 16\n"]
+    assert run("--sentence_tag", "s") == run("--sentence-tag", "s")
     assert run("--sentence-tag", "s")[:3] == ["<s>", "Das", "ist"]
     (tmp_path / "a.txt").write_text("<f><p>Ja</p></f>", encoding="utf-8")
     assert run("--tag", "p") == ["<f>", "<p>", "Ja", "</p>", "</f>"]
@@ -159,6 +161,43 @@ def test_cli(spark, tmp_path):
     assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))).split() == ["<f>", "<p>", "Ja", "</p>", "</f>"]
 
 
+def test_cli_standard_streams(spark, tmp_path, monkeypatch, capsys):
+    import io
+
+    monkeypatch.setattr("sys.stdin", io.StringIO("Ja. Nein bspw. xyz. so"))
+    cli.main(["-", "-o", "-"])
+    assert capsys.readouterr().out.split() == ["Ja", ".", "Nein", "bspw.", "xyz", ".", "so"]
+    (tmp_path / "abbreviations_de.txt").write_text("xyz.\n", encoding="utf-8")
+    monkeypatch.setattr("sys.stdin", io.StringIO("Ja. Nein bspw. xyz. so"))
+    cli.main(["-", "-o", "-", "--lexicon_folder", str(tmp_path)])
+    assert capsys.readouterr().out.split() == ["Ja", ".", "Nein", "bspw", ".", "xyz.", "so"]
+    with pytest.raises(SystemExit):
+        cli.arguments(["--version"])
+    assert capsys.readouterr().out.startswith("segmill ")
+
+
+def test_nested_form(docs):
+    flat = tokenize_text(docs, lang="lang")
+    deep = tokenize_text(docs, lang="lang", nested=True)
+    got = {r.doc_id: (r.lang, r.tokens) for r in deep.collect()}
+    assert got[4] == ("de", None) and got[5] == ("de", []) and got[6][0] is None and len(got) == 6
+    want = {}
+    for r in flat.orderBy("doc_id", "sent_no", "par_no", "tok_no").collect():
+        want.setdefault(r.doc_id, []).append(tuple(r)[1:])
+    assert {d: [tuple(t) for t in ts] for d, (_, ts) in got.items() if ts} == want
+    assert tokenize_text(docs, fields=["text", "tok_no"]).columns == ["doc_id", "tok_no", "text"]
+    with pytest.raises(ValueError):
+        tokenize_text(docs, fields=["nonsense"])
+
+
+def test_split_functions_and_nfc(spark):
+    sqludf.register(spark)
+    row = spark.sql("SELECT segmill_split_xml_en(array('<p>', 'Ja', '</p>', 'so'), array('p')) AS s, segmill_nfc('e\u0301') AS n, segmill_split_xml_de(null, array('p')) AS z").first()
+    assert (row.s, row.n, row.z) == ([["<p>", "Ja", "</p>"], ["so"]], "é", None)
+    assert sqludf.split_numbers(["<p>", "</p>", "Ja"], eos_tags={"p"}) == [0, 0, 0]
+    assert sqludf.split_tokens([{"text": "Ja"}, {"text": "."}, {"text": "Nun"}], text=lambda t: t["text"]) == [[{"text": "Ja"}, {"text": "."}], [{"text": "Nun"}]]
+
+
 def test_empty_table(spark, docs):
     assert tokenize_text(docs.limit(0)).count() == 0
 
