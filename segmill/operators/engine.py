@@ -321,8 +321,8 @@ def detokenized(tokens: Column) -> Column:
 
 def laid_out(tokens: Column) -> Column:
     """The tokens of an array at their places, with spaces in between."""
-    ends = F.transform(tokens, lambda t: t["char_end"])
-    return F.array_join(F.transform(tokens, lambda t, i: F.concat(F.repeat(F.lit(" "), t["char_start"] - F.coalesce(F.get(ends, i - 1), F.lit(0))), spelled(t))), "")
+    gap = lambda t, i: t["char_start"] - F.coalesce(F.get(tokens, i - 1)["char_end"], F.lit(0))
+    return F.array_join(F.transform(tokens, lambda t, i: F.concat(F.repeat(F.lit(" "), gap(t, i)), spelled(t))), "")
 
 
 def merge_empty_sentences(tokens: DataFrame) -> DataFrame:
