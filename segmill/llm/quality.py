@@ -148,7 +148,8 @@ def fit_cutoffs(scored: DataFrame, labels: DataFrame, grids: dict[str, list[floa
     (1 good, 0 bad). All labelled documents count; rows with a null label, id or no
     partner are left out. Documents that fail the base rules are outside the guarantee,
     which is about the cutoffs. Labels that repeat for a document count once, as the
-    worst of them.
+    worst of them. The bound takes labelled documents as independent draws; copies of a
+    text that are labelled under several ids count each, so deduplicated labels are better.
     """
     grids = grids or GRIDS
     rules = len(grids)

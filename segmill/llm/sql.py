@@ -35,7 +35,7 @@ v AS ({shares}),
 cells AS (SELECT stratum, rule, i, cutoff, sum(CASE WHEN good = 1 THEN 1 ELSE 0 END) AS n, sum(CASE WHEN good = 1 AND v > cutoff THEN 1 ELSE 0 END) AS lost,
                  sum(CASE WHEN good <> 1 AND v > cutoff THEN 1 ELSE 0 END) AS caught FROM v JOIN grid USING (rule) GROUP BY ALL),
 tested AS (SELECT *, CASE WHEN lost >= n * {a!r} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({a!r}) + (n - j) * ln(1 - {a!r}))) FROM range(0, CAST(lost + 1 AS BIGINT)) AS r(j)) END
-                  <= {quality.DELTA / rules!r} / (SELECT count(DISTINCT coalesce(stratum, '')) FROM lab) AS certified FROM cells),
+                  <= {quality.DELTA / rules!r} / (SELECT count(*) FROM (SELECT DISTINCT stratum FROM lab)) AS certified FROM cells),
 run AS (SELECT *, bool_and(certified) OVER (PARTITION BY stratum, rule ORDER BY i) AS ok FROM tested),
 best AS (SELECT stratum, rule, cutoff FROM (SELECT *, row_number() OVER (PARTITION BY stratum, rule ORDER BY caught DESC, i) AS k FROM run WHERE ok AND caught > 0) WHERE k = 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM f

@@ -91,6 +91,30 @@ def test_plan_is_native(spark, judged):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_certified_cutoffs_against_sql(spark, tmp_path):
+    """At the production alpha and delta, on enough labels for cutoffs in one stratum and too few in the others."""
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(3)
+    rows, labels = [], []
+    for i in range(1500):
+        bad = i % 6 == 0
+        words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(55)]
+        text = " ".join(w + ("#" * r.randint(1, 3) if bad and i % 12 else "") for w in words) + ("!" * 40 if bad and i % 12 == 0 else "")
+        rows.append((i, text, "en" if i < 1400 else "" if i < 1450 else None, "s", len(text)))
+        labels.append((i, 0 if bad else 1, 0))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got, want = queries.queries()["op9_quality_rules"](spark, str(tmp_path)), con.sql(sql.oracle_sql()["op9_quality_rules"])
+    cols = sorted(got.columns)
+    found = sorted(tuple(x[c] for c in cols) for x in got.collect())
+    assert found == sorted(tuple(x[want.columns.index(c)] for c in cols) for x in want.fetchall())
+    by_rule = {x.doc_id for x in got.filter("not kept and not base_failed").collect()}
+    assert len(by_rule) > 200 and all(i % 6 == 0 and i < 1400 for i in by_rule)
+
+
 @pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
 def test_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
