@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "segmill-pseudonyms-1"
+#: Name of the session setting with the key; whoever has the key can undo every pseudonym.
+SETTING = "spark.segmill.pseudonyms.key"
 
 _EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])"
 _IBAN = r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"
@@ -44,7 +45,7 @@ def _long(x) -> Column:
     return (x if isinstance(x, Column) else F.lit(x)).cast("long")
 
 
-def feistel(left: Column, right: Column, m_left: Column, m_right: Column, tweak: Column, key: str = KEY) -> Column:
+def feistel(left: Column, right: Column, m_left: Column, m_right: Column, tweak: Column, key: str) -> Column:
     """Keyed permutation of the pairs in [0, m_left) x [0, m_right): a struct of a and b."""
 
     def step(s: Column, i: Column) -> Column:
@@ -242,7 +243,7 @@ def _date(x: Column, key: str) -> Column:
 _MAKERS = {"email": _email, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card, "national": _national}
 
 
-def pseudonym(x: Column, key: str = KEY) -> Column:
+def pseudonym(x: Column, key: str) -> Column:
     """The pseudonym of one candidate; itself if it doesn't validate."""
     out = None
     for kind, p in PATTERNS.items():
@@ -251,12 +252,17 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
     return out.otherwise(x)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, count: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, count: str | None = None) -> DataFrame:
     """``docs`` with valid personal data in ``text`` replaced by pseudonyms; ``count`` names a column for their number.
 
-    Null texts stay null with a count of 0; texts without a candidate pass unchanged,
-    and so do all other columns.
+    Without ``key`` the session setting ``SETTING`` must name one, else ValueError. Null
+    texts stay null with a count of 0; texts without a candidate, of any length, pass
+    unchanged, and so do all other columns. Repeated rows are replaced alike. An empty
+    table gives no rows.
     """
+    key = key or docs.sparkSession.conf.get(SETTING, None)
+    if not key:
+        raise ValueError(f"pseudonyms need a key, as an argument or in {SETTING}")
     pattern = "|".join(PATTERNS.values())
     names = docs.columns
     t = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("t"))

@@ -13,7 +13,7 @@ def run(spark, texts):
     return {r.doc_id: (r.text, r.n) for r in pii.pseudonymise(df, count="n").collect()}
 
 
-def feistel(a, b, ma, mb, tweak, key=pii.KEY):
+def feistel(a, b, ma, mb, tweak, key="a key for tests"):
     for i in range(1, pii.ROUNDS + 1):
         f = int(hashlib.sha256(f"{key}|{tweak}|{i}|{b}".encode()).hexdigest()[:15], 16)
         a, b, ma, mb = b, (a + f % ma) % ma, mb, ma
@@ -31,7 +31,7 @@ def mod97(iban):
 
 def test_feistel_permutes(spark):
     pairs = spark.range(147 * 13).select((F.col("id") / 13).cast("long").alias("a"), (F.col("id") % 13).alias("b"))
-    got = pairs.select("a", "b", pii.feistel(F.col("a"), F.col("b"), F.lit(147), F.lit(13), F.lit("t")).alias("p")).collect()
+    got = pairs.select("a", "b", pii.feistel(F.col("a"), F.col("b"), F.lit(147), F.lit(13), F.lit("t"), "a key for tests").alias("p")).collect()
     assert len({(r.p.a, r.p.b) for r in got}) == len(got) == 147 * 13
     assert all((r.p.a, r.p.b) == feistel(r.a, r.b, 147, 13, "t") for r in got)
 
@@ -100,7 +100,7 @@ def test_equal_values_stay_linked(spark):
 def test_day_first_dates(spark):
     days = [datetime.date(1901, 1, 1) + datetime.timedelta(i) for i in range(71589)]
     late = [d.strftime("%d/%m/%Y") for d in days if d.day > 12]
-    got = spark.createDataFrame([(t,) for t in late], "t string").select(pii.pseudonym(F.col("t")).alias("p")).collect()
+    got = spark.createDataFrame([(t,) for t in late], "t string").select(pii.pseudonym(F.col("t"), "a key for tests").alias("p")).collect()
     assert sorted(r.p for r in got) == sorted(late) and sum(r.p == t for r, t in zip(got, late)) < 10
     assert run(spark, ["le 31/12/1999, 31/02/2000 und 31/12/1899"])[0][1] == 1
 
@@ -123,3 +123,10 @@ def test_columns_and_plan(spark):
     plan = pii.pseudonymise(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert pii.pseudonymise(df.limit(0)).count() == 0
+
+
+def test_a_key_is_needed(spark):
+    df = spark.createDataFrame([(1, "10.0.0.1")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        pii.pseudonymise(df.sparkSession.newSession().createDataFrame([(1, "10.0.0.1")], "doc_id long, text string"))
+    assert pii.pseudonymise(df, key="x").first().text != pii.pseudonymise(df, key="y").first().text
