@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), where docs has the columns of the documents
 table, and works on all rows that the stage before it kept. Side tables (labels,
-benchmark) are read from sf_dir whole.
+benchmark) are read from sf_dir whole. Null texts and doc_ids, repeated rows, very long
+texts and extra columns are taken as the operators' docstrings say; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm import bpe, decontaminate, neardup, pii, quality
+from segmill.llm.queries import pseudonym_key
 from segmill.llm.shared import stash
 
 
@@ -31,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Valid personal data in the texts become format-preserving pseudonyms."""
-    return pii.pseudonymise(docs)
+    return pii.pseudonymise(docs, key=pseudonym_key(spark))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
