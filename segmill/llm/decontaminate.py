@@ -199,7 +199,11 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, bl
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` whose text holds no benchmark item within its error budget, columns unchanged; no shuffle."""
+    """The rows of ``docs`` whose text holds no benchmark item within its error budget, columns unchanged; no shuffle.
+
+    Null and empty texts stay, repeated rows are judged alike, texts of any length are
+    searched whole. Without items, or without rows, nothing is dropped.
+    """
     out, where, schema = docs, docs.columns.index("text"), docs.schema
     for block in _blocks(benchmark, block_chars):
 

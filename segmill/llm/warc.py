@@ -182,6 +182,12 @@ def read_packages(spark: SparkSession, packages: list[dict], run_records: int =
 
 
 def archived(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to packages in the shared folder and read all records back, without their html."""
+    """Write ``pages`` (page_id, url, html) to packages in the shared folder and read all records back, without their html.
+
+    A null html is an empty payload, a null url ``about:blank``. Of equal payloads the
+    least page_id is the response; rows that repeat it and its payload are responses too,
+    and null page_ids stay null. An empty table writes no package and gives no rows; other
+    columns are ignored.
+    """
     spark = pages.sparkSession
     return read_packages(spark, write_packages(pages, new_path(spark, "warc"))).drop("html")
