@@ -42,7 +42,7 @@ FORMATS = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{40,}-----END (?:[A-Z]+ )?PRIVATE KEY-----",
 }
 _HINTS = ("AKIA", "ASIA", "gh", "xox", "AIza", "k_live_", "eyJ", "-----BEGIN")
-_ASSIGNED = re.compile(r"""[\w-]["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'`,;<>]{8,})""")
+_ASSIGNED = re.compile(r"""[\w-]["']?[ \t]*(?::=|=>|[:=])[ \t]*["']?([^\s"'`,;<>]{6,})""")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 #: Parameters and fields within a long value, which end where the next one begins.
 _FIELD = re.compile(r"""[\w-][:=|]([^\s"'`,;<>&?#|:=]{8,}={0,2})""")
@@ -188,12 +188,13 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, int
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     some = lambda alphabet, k: "".join(r.choices(alphabet, k=k))
     words = sorted(_DICTIONARY)
+    words += [w.capitalize() for w in words]
     syllables = ["an", "er", "in", "on", "th", "ed", "en", "ent", "ha", "re", "st", "ou", "ing", "ti", "le", "be", "sch", "que"]
     filler = lambda k: " ".join(r.choice(words) if r.random() < 0.5 else "".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(k))
     quote = lambda v: r.choice(['"{}"', "'{}'", "{}"]).format(v)
     sign = lambda: r.choice([" = ", "=", ": ", " := ", '": '])
-    paths = ["src/app/config.py", "deploy/prod.env", "service/settings.yaml", "src/main/client.go", "notes.txt", "src0", "src12", ""]
-    plain_paths = ["tests/fixtures/data.json", "package-lock.json", "docs/example.md", "vendor/lib.min.js", "src/index.ts", "src3", "src0", ""]
+    paths = ["src/app/config.py", "deploy/prod.env", "service/settings.yaml", "src/main/client.go", "notes.txt", "forum", "mirror", ""]
+    plain_paths = ["tests/fixtures/data.json", "package-lock.json", "docs/example.md", "vendor/lib.min.js", "src/index.ts", "forum", "mirror", ""]
     out = []
     for _ in range(n // 2):
         value = r.choice(
@@ -207,6 +208,7 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, int
                 lambda: "sk_live_" + some(low + up + dig, 24),
                 lambda: "xoxb-" + some(dig, 12) + "-" + some(low + up + dig, 24),
                 lambda: some(low + up + dig + "!%^*_", r.randint(10, 20)),
+                lambda: "".join(r.choices(syllables, k=r.randint(2, 3)))[:8] + some(dig + "!#", r.randint(1, 4)),
             ]
         )()
         name = r.choice(["token", "api_key", "apiKey", "secret", "password", "auth_token", "client_secret", "access_key", "SECRET_KEY", "db_password", "bearer", "private_key"])
@@ -227,7 +229,9 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, str, int
                 lambda: "".join(r.choices(syllables, k=r.randint(8, 14))) + some(dig, 2),
                 lambda: some(dig, r.randint(20, 30)),
                 lambda: r.choice(words) + sign() + quote("".join(r.choices(syllables, k=r.randint(4, 8)))),
-                lambda: "".join(r.choices(syllables, k=4)) + "." + some(dig, 2) + "@mail" + some(dig, 1) + ".example.com",
+                lambda: r.choice(["", "mailto:", "contact: "]) + "".join(r.choices(syllables, k=r.randint(2, 4))) + r.choice(["", ".", "_"]) + some(dig, r.randint(0, 3)) + "@" + r.choice(words) + r.choice([".com", ".org", ".de", ".co.uk"]),
+                lambda: r.choice(words) + sign() + quote(r.choice([r.choice(words), "".join(r.choices(syllables, k=3)), some(dig, r.randint(6, 8)), r.choice(words) + some(dig, 1)])),
+                lambda: r.choice(["login", "key", "password", "access", "token"]) + r.choice([": ", " : "]) + r.choice([*words, "Bearer", "Basic", "Digest"]),
             ]
         )()
         out.append((f"{filler(r.randint(0, 12))} {text} {filler(r.randint(0, 12))}", r.choice(plain_paths), 0))
@@ -307,8 +311,10 @@ def scan(docs: DataFrame, judge: Judge | None = None, path: str | None = None, t
     """doc_id, start, end, kind, score and secret_sha256 of each secret in each row of ``docs`` (doc_id, text).
 
     ``start`` and ``end`` count characters, whatever a value's length; ``path`` names a
-    column whose value helps to judge. Null and empty texts have no findings, null paths no say; repeated rows give
-    repeated findings. The secret itself is not returned, only its SHA-256.
+    column whose value helps to judge. Null and empty texts have no findings, null paths
+    no say; repeated rows give repeated findings; texts of any length are read whole. An
+    empty table gives no rows, and other columns are ignored. The secret itself is not
+    returned, only its SHA-256.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(judge or train())  # a fixed number of trees of bounded depth
