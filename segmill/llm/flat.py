@@ -10,6 +10,7 @@ offset. Readers map the files into memory.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -37,6 +38,9 @@ _PLAIN = re.compile(r"[a-z]+|[0-9]|[!-&(-/:-@\[-`{-~]+").fullmatch
 #: Latin letters, but for the one whose lower case is two characters.
 _WORD_AND_TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:-;=-@\[-`{-~]+)").fullmatch
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: What a vocabulary file must say for texts to be cut as above; texts go whole to any other tokenizer.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 def default_vocabulary() -> str:
@@ -62,7 +66,8 @@ class Encoder:
     ASCII marks after it; runs with anything else, an apostrophe or the start of a
     special token go to the library as they are.
     ``str.split`` also splits at U+001C to U+001F, which the tokenizer keeps; texts with
-    those go to the library whole.
+    those go to the library whole. So do all texts where the file names another
+    normaliser, other cuts or other special tokens than these hold for.
     """
 
     def __init__(self, path: str):
@@ -71,6 +76,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        own = spec.get("normalizer") == _NORMALIZER and steps[0].get("pattern") == {"Regex": _SPLIT} and [x.get("type") for x in steps] == ["Split", "ByteLevel"]
+        self.cuts = own and spec["model"].get("end_of_word_suffix") == "</w>" and all(t["content"].startswith("<|") for t in spec.get("added_tokens", ()))
         self.size_of_vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.forget()
 
@@ -115,6 +125,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each text)."""
+        if not self.cuts:
+            whole = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(whole), np.uint32), np.array([len(x) for x in whole], np.int64)
         if max(len(self.runs), len(self.pieces)) > REMEMBERED:
             self.forget()
         known = len(self.runs)
@@ -257,6 +270,11 @@ def read_documents(spark: SparkSession, shards: list[dict]) -> DataFrame:
 
 
 def token_files(docs: DataFrame, vocabulary: str | None = None, end: int = END) -> DataFrame:
-    """Write ``docs`` as flat token files in the shared folder and read every document back."""
+    """doc_id, start, n_tokens and ids_crc32 of every row of ``docs`` (doc_id, text), from flat files in the shared folder.
+
+    Null and empty texts have the end id alone; texts of any length are written as they
+    come. Rows with a null doc_id come first, rows that repeat a doc_id are documents of
+    their own. An empty table writes no file and gives no rows; other columns are ignored.
+    """
     spark = docs.sparkSession
     return read_documents(spark, write_shards(docs, new_path(spark, "tokens"), vocabulary, end))
