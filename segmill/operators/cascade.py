@@ -201,6 +201,11 @@ def drop_empty(pieces: list[Piece]) -> list[Piece]:
 _SPACES, _CONTROLS, _STRANDED, _INVISIBLE = (regex.compile(p) for p in (R.WHITE_SPACE, R.CONTROLS, R.STRANDED_SELECTOR, R.INVISIBLE))
 
 
+def _clean(text: str) -> bool:
+    """Whether a text whose white space is single spaces surely has no controls, invisible characters or variation selectors."""
+    return text.isprintable() and "\uFE0F" not in text
+
+
 def _pass(pieces: list[Piece], table: tuple[Rule, ...]) -> list[Piece]:
     """All rules in order, but for those that a look at the text rules out: cutting makes no new text."""
     text = "\n".join([p.text for p in pieces if not p.markup and not p.locked])
@@ -227,10 +232,12 @@ def segment(pieces: list[Piece], options: Options) -> list[Piece]:
     for p in pieces:
         p.text = unicodedata.normalize("NFC", p.text)
         if not p.markup and not p.locked:
-            p.text = _SPACES.sub(" ", _STRANDED.sub("", _CONTROLS.sub("", _SPACES.sub(" ", p.text))))
+            p.text = _SPACES.sub(" ", p.text)
+            if not _clean(p.text):
+                p.text = _SPACES.sub(" ", _STRANDED.sub("", _CONTROLS.sub("", p.text)))
     pieces = _pass(pieces, table.early)
     for p in pieces:
-        if not p.markup and not p.locked:
+        if not p.markup and not p.locked and not _clean(p.text):
             p.text = _SPACES.sub(" ", _INVISIBLE.sub("", p.text))
     pieces = _pass(drop_empty(pieces), table.late)
     out = []
