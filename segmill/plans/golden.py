@@ -16,7 +16,7 @@ from ..functions import sqludf
 from ..operators import evaluate
 from ..operators.cascade import Options
 from ..operators.engine import extra_info, records, sentence_texts, tokenize_text, tokenize_xml
-from ..sources.text import paragraphs
+from ..sources.text import paragraphs, read_lexicon, scratch
 from . import cli
 
 # (pass, language, text, expected tokens)
@@ -207,6 +207,24 @@ OFFSETS = [
     ("<f>\r\n<!-- c --><p>a&lt;b</p></f>", [("<f>", 0, 3), ("<p>", 15, 18), ("a", 18, 19), ("&lt;", 19, 23), ("b", 23, 24), ("</p>", 24, 28), ("</f>", 28, 32)]),
 ]
 
+# part: (file, options); what comes out stands in FILE_LINES as (part, sentence, paragraph, token, line)
+FILES = {
+    "text": ("Er kam.\nSie auch.\n\nNun", "-t", "--split-sentences"),
+    "lines": ("Er kam\n\nNun", "-s", "single_newlines", "-e"),
+    "xml": ("<f><p>Er &amp; <del>weg</del>sie</p></f>", "--tag", "p", "--prune", "del"),
+    "stripped": ("<f><p>Er &amp; sie</p></f>", "--strip-tags", "--tag", "p"),
+    "tagged": ("Ja! Nein", "--sentence_tag", "s"),
+}
+FILE_LINES = [
+    *[("text", s, p, i, line) for s, p, i, line in [(0, 0, 0, "Er|regular"), (0, 0, 1, "kam|regular"), (0, 0, 2, ".|symbol$"), (1, 0, 3, "Sie|regular"), (1, 0, 4, "auch|regular"), (1, 0, 5, ".|symbol$"), (2, 1, 0, "Nun|regular$")]],
+    *[("lines", 0, p, i, line) for p, i, line in [(0, 0, "Er|"), (0, 1, "kam|"), (1, 0, "Nun|")]],
+    *[("xml", 0, 0, i, line) for i, line in enumerate(["<f>", "<p>", "Er", "&amp;", "sie", "</p>", "</f>"])],
+    *[("stripped", 0, 0, i, line) for i, line in enumerate(["Er", "&", "sie"])],
+    *[("tagged", s, 0, i, line) for i, (s, line) in enumerate([(0, "<s>"), (0, "Ja"), (0, "!"), (0, "</s>"), (1, "<s>"), (1, "Nein"), (1, "</s>")])],
+    *[("list", 0, 0, len(e), e) for e in ("bzw.", "usw.", "ca.")],
+]
+SQL_TABLE = [(1, 0, 0, "Er", "regular", ""), (1, 0, 1, "kam", "regular", "SpaceAfter=No"), (1, 0, 2, ".", "symbol", ""), (1, 1, 3, "Sie", "regular", ""), (1, 1, 4, "nicht", "regular", "SpaceAfter=No"), (1, 1, 5, "!", "symbol", "")]
+
 # (separator, text, expected paragraphs with their starts)
 PARAGRAPHS = [
     ("single_newlines", "a\n\nb\n \nc", [("a\n", 0), ("b\n", 3), ("c", 7)]),
@@ -345,6 +363,31 @@ def golden_output_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ord.tok_no", F.replace(F.replace("value", F.lit("\t"), F.lit("|")), F.lit("\n"), F.lit("$")).alias("line"))
 
 
+def golden_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text files and XML files through the command line's options, and a word list."""
+
+    def file(text: str) -> str:
+        path = scratch(spark, "file")
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+        return path
+
+    out = None
+    for part, (text, *options) in FILES.items():
+        lines = cli.run(spark, cli.arguments([file(text), "-o", "-", *options]))
+        row = lines.select(F.lit(part).alias("part"), "ord.*", F.replace(F.replace("value", F.lit("\t"), F.lit("|")), F.lit("\n"), F.lit("$")).alias("line"))
+        out = row if out is None else out.unionByName(row)
+    entries = read_lexicon(spark, file("# Liste\nbzw.\n\nCa.\nca.\nusw."), lower=True)
+    words = entries.select(F.lit("list").alias("part"), F.lit(0).alias("s"), F.lit(0).alias("par_no"), F.length("entry").alias("tok_no"), F.col("entry").alias("line"))
+    return out.unionByName(words)
+
+
+def golden_sql_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and sentences through the table function for SQL."""
+    sqludf.register(spark)
+    spark.createDataFrame([(1, "Er kam. Sie nicht!"), (2, None)], "doc_id long, text string").createOrReplaceTempView("segmill_texts")
+    return spark.sql("SELECT d.doc_id, t.sent_no, t.tok_no, t.token, t.token_class, t.extra_info FROM segmill_texts d, LATERAL segmill_tokenize(d.text, 'de') t")
+
+
 def _scores_sql() -> str:
     names = [f"{k}_{c}" for k in ("tok", "sent") for c in ("tp", "fp", "fn")]
     counts = _values(SCORES, "file VARCHAR, " + ", ".join(f"{n} BIGINT" for n in names))
@@ -369,6 +412,8 @@ QUERIES = {name: _cascade(stage) for name, stage in STAGES.items()} | {
     "golden_records": (golden_records, _values([(i, k, *t) for i, (_, e) in enumerate(EXTRA) for k, t in enumerate(e)], "doc_id BIGINT, tok_no INTEGER, token VARCHAR, extra_info VARCHAR")),
     "golden_offsets": (golden_offsets, _values([(i, k, *t) for i, (_, e) in enumerate(OFFSETS) for k, t in enumerate(e)], "doc_id BIGINT, tok_no INTEGER, token VARCHAR, char_start INTEGER, char_end INTEGER")),
     "golden_paragraphs": (golden_paragraphs, _values([(i, k, a, t.replace("\n", "/")) for i, (_, _, e) in enumerate(PARAGRAPHS) for k, (t, a) in enumerate(e)], "doc_id BIGINT, par_no INTEGER, par_start BIGINT, paragraph VARCHAR")),
+    "golden_files": (golden_files, _values(FILE_LINES, "part VARCHAR, s INTEGER, par_no INTEGER, tok_no INTEGER, line VARCHAR")),
+    "golden_sql_table": (golden_sql_table, _values(SQL_TABLE, "doc_id BIGINT, sent_no INTEGER, tok_no INTEGER, token VARCHAR, token_class VARCHAR, extra_info VARCHAR")),
     "golden_scores": (golden_scores, _scores_sql()),
     "golden_concordance": (golden_concordance, _values(CONCORDANCE, "file VARCHAR, pos BIGINT, error VARCHAR, line VARCHAR")),
     "golden_mismatches": (golden_mismatches, _values([("b", 4, 3), ("c", 2, 0)], "file VARCHAR, differing BIGINT, first_at BIGINT")),

@@ -14,7 +14,8 @@ from ..functions.lexicons import EOS_TAGS
 from ..operators import evaluate
 from ..operators.cascade import Options
 from ..operators.engine import detokenized, escape_xml, joined, laid_out, merge_empty_sentences, sentence_texts, spelled, tokenize_text, tokenize_xml
-from ..sources.text import paragraphs
+from ..sources.text import paragraphs, scratch
+from ..streaming.tokens import tokenize_stream, write_available
 from . import golden
 
 _WORD_RUN = r"[\p{L}\p{N}_]+"
@@ -104,6 +105,16 @@ def tokens_conserve_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", F.md5(F.regexp_replace(joined(F.col("tokens"), spelled), r"[ \t\n\r\f]+", "")).alias("chars_md5"))
 
 
+def stream_conserves_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``tokens_conserve_text``, the documents read, segmented and written as a stream."""
+    docs = _docs(spark, sf_dir)
+    stream = spark.readStream.schema(docs.schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern: the table may be a file or a folder
+    tokens = tokenize_stream(stream, Options(split_sentences=False), lang="lang", separator="single_newlines", fields=["text", "original_spelling"], nested=True)
+    path = scratch(spark, "stream")
+    write_available(tokens.select("doc_id", joined(F.col("tokens"), spelled).alias("chars")), path)
+    return spark.read.schema("doc_id long, chars string").parquet(path).select("doc_id", F.md5(F.regexp_replace("chars", r"[ \t\n\r\f]+", "")).alias("chars_md5"))
+
+
 def tokens_detokenized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of each document put together from its tokens and the spaces after them."""
     return _tokens(spark, sf_dir, ["text", "original_spelling", "space_after"]).select("doc_id", F.md5(detokenized(F.col("tokens"))).alias("text_md5"))
@@ -259,6 +270,7 @@ QUERIES = {
     "controls_stripped": controls_stripped,
     "abbreviation_candidates": abbreviation_candidates,
     "tokens_conserve_text": tokens_conserve_text,
+    "stream_conserves_text": stream_conserves_text,
     "tokens_detokenized": tokens_detokenized,
     "token_offsets": token_offsets,
     "sentence_stats": sentence_stats,
@@ -346,6 +358,7 @@ def oracle_sql() -> dict[str, str]:
         "controls_stripped": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'), '[\x{AD}\x{61C}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}\x{2066}-\x{2069}\x{FEFF}]', '', 'g')) AS text_md5 FROM documents""",
         "abbreviation_candidates": rf"""SELECT lower(m) AS abbreviation, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\p{{L}}+\.')) AS m FROM documents)
             WHERE lower(m) IN (SELECT * FROM (VALUES {words})) GROUP BY lower(m)""",
+        "stream_conserves_text": r"SELECT doc_id, md5(regexp_replace(text, '[ \t\n\r\f]+', '', 'g')) AS chars_md5 FROM documents",
         "tokens_conserve_text": rf"SELECT doc_id, md5(regexp_replace(text, '[ \t\n\r\f]+', '', 'g')) AS chars_md5 FROM documents",
         "tokens_detokenized": rf"SELECT doc_id, md5(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'))) AS text_md5 FROM documents",
         "token_offsets": r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \t\n\r\f]', ' ', 'g'), ' +$', '')) AS text_md5 FROM documents",

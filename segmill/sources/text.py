@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of ``spark.checkpoint.dir``; where that is unset, on this machine in local mode, else ValueError."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="segmill-")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 SEPARATORS = ("single_newlines", "empty_lines")
 
 
