@@ -140,9 +140,14 @@ def count_tokens(spark: SparkSession, folder: str, end: int = END, block: int =
 
 
 def counted(docs: DataFrame, vocabulary: str | None = None, end: int = END, block: int = BLOCK) -> DataFrame:
-    """doc_id and n_tokens of every row of ``docs``, from flat files written to and scanned in the shared folder."""
+    """doc_id and n_tokens, the end id counted, of every row of ``docs``, from flat files written to and scanned in the shared folder.
+
+    A null or empty text has its end id alone. Rows that repeat a doc_id are documents of
+    their own, rows with a null doc_id keep it. An empty table gives no rows; other columns
+    are ignored. Both sides of the join have a row a document, so it is never a broadcast.
+    """
     spark = docs.sparkSession
     folder = new_path(spark, "flat")
     order = write_flat(docs, folder, vocabulary, end)
     counts = count_tokens(spark, folder, end, block)
-    return order.join(counts, ["file", "position"]).select("doc_id", "n_tokens")
+    return order.join(counts.hint("merge"), ["file", "position"]).select("doc_id", "n_tokens")
