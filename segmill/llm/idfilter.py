@@ -16,10 +16,11 @@ def _place(of: Column, bits: int) -> Column:
 
 
 def bitmap(ids: DataFrame, bits: int = BITS, row_bits: int = ROW_BITS) -> DataFrame:
-    """(__segment, __words) of the one column of ``ids``: at most ``2 ** (bits - row_bits)`` rows, aggregated before they are shuffled."""
+    """(__segment, __words) of the one column of ``ids``: always ``2 ** (bits - row_bits)`` rows, aggregated before they are shuffled."""
     at = ids.select(_place(F.col(ids.columns[0]), bits).alias("at"))
     parts = at.select(F.shiftright("at", row_bits).alias("__segment"), F.pmod(F.shiftright("at", 6), F.lit(1 << (row_bits - 6))).cast("int").alias("word"), F.expr("shiftleft(1L, cast(at % 64 as int))").alias("bit"))
-    words = parts.groupBy("__segment", "word").agg(F.bit_or("bit").alias("bits"))
+    none = ids.sparkSession.range(1 << (bits - row_bits)).select(F.col("id").alias("__segment"), F.lit(0).alias("word"), F.lit(0).cast("long").alias("bit"))
+    words = parts.unionByName(none).groupBy("__segment", "word").agg(F.bit_or("bit").alias("bits"))
     rows = words.groupBy("__segment").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("m"))
     every = F.sequence(F.lit(0), F.lit((1 << (row_bits - 6)) - 1))
     return rows.select("__segment", F.transform(every, lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("__words"))
