@@ -1,13 +1,18 @@
 """Byte-level BPE in batched numpy merge rounds.
 
-The symbols of many distinct words lie in one flat array. A round looks up all adjacent
-pairs by binary search over the sorted pair keys, takes the lowest rank of each word,
-merges its occurrences from left to right, and drops the words that have no pair left.
+The symbols of many distinct words lie in one flat array. A round takes the lowest rank
+of each word, merges its occurrences from left to right, looks up the pairs that are new
+by binary search over the sorted pair keys, and drops the words that have no pair left.
+
+Long words lie in an array of their own, whose symbols are linked to their neighbours.
+There a round takes the lowest rank of all words and touches only the places that have
+it, so the work grows with the merges and not with their number times the length.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +31,8 @@ WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Characters of text in work at a time, and distinct words a worker remembers.
 CHUNK = 1_000_000
 REMEMBERED = 150_000
+#: Bytes from which a word is long.
+LONG = 512
 _NONE = np.iinfo(np.int64).max
 
 
@@ -64,6 +71,11 @@ class Vocabulary:
         made = np.array([ids[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.place = np.argsort(self.ranks)  # of a rank in the sorted keys
+        born = np.zeros(max(ids.values()) + 1, np.int64)
+        born[made] = np.arange(1, len(made) + 1)
+        # Whether every merge comes after those that made its two sides, as training has it.
+        self.ordered = bool((np.maximum(born[keys >> 32], born[keys & 0xFFFFFFFF]) <= np.arange(len(keys))).all())
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
         names = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         raw = [b"".join(bytes([to_byte[c]]) if c in to_byte else c.encode() for c in names.get(i, "")) for i in range(max(names) + 1)]
@@ -83,39 +95,107 @@ class Vocabulary:
         for s in self.special:
             self.index[s] = len(self.index)
 
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair in the sorted keys, -1 for a pair that never merges."""
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words one after the other, number of ids of each word)."""
+        long = np.array([len(w) > LONG for w in words], bool) & self.ordered
+        if not long.any():
+            return self._merged(words, self._rounds)
+        short = [w for w, x in zip(words, long) if not x]
+        (a, n), (b, m) = self._merged(short, self._rounds), self._merged([w for w, x in zip(words, long) if x], self._linked_rounds)
+        size = np.zeros(len(words), np.int64)
+        size[~long], size[long] = n, m
+        out = np.zeros(int(size.sum()), np.uint32)
+        of = np.repeat(long, size)
+        out[~of], out[of] = a, b
+        return out, size
+
+    def _merged(self, words: list[bytes], rounds) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(w) for w in words], np.int64)
-        ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
+        if not sizes.sum():
+            return np.zeros(0, np.uint32), sizes
+        word, ids = rounds(np.repeat(np.arange(len(words)), sizes), self.of_byte[np.frombuffer(b"".join(words), np.uint8)])
+        return ids.astype(np.uint32), np.bincount(word, minlength=len(words))
+
+    def _rounds(self, word: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(words, ids) after all merges, by word."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        pair = np.append(np.where(word[1:] == word[:-1], self.pairs(ids[:-1], ids[1:]), -1), -1)
+        rank = np.where(pair >= 0, self.ranks[pair], _NONE)
         while len(ids):
-            inner = np.append(word[1:] == word[:-1], False)
-            keys = np.append(ids[:-1] << 32 | ids[1:], 0)
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            rank = np.where(inner & (self.keys[at] == keys), self.ranks[at], _NONE)
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.minimum.reduceat(rank, first)
-            length = np.diff(np.append(first, len(ids)))
-            low = np.repeat(least, length)
+            low = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
             live = low != _NONE
             if not live.all():
                 done.append((word[~live], ids[~live]))
-            hit = live & (rank == low)
-            # Hits that touch are one symbol repeated: every second of them merges.
-            spots = np.flatnonzero(hit)
-            if len(spots) > 1:
-                new_run = np.append(True, np.diff(spots) != 1)
-                run_at = spots[np.flatnonzero(new_run)][np.cumsum(new_run) - 1]
-                spots = spots[(spots - run_at) % 2 == 0]
-            ids[spots] = self.made[at[spots]]
-            live[spots + 1] = False
-            ids, word = ids[live], word[live]
-        if not done:
-            return np.zeros(0, np.uint32), sizes
+                word, ids, pair, rank, low = word[live], ids[live], pair[live], rank[live], low[live]
+                if not len(ids):
+                    break
+            spots = _apart(np.flatnonzero(rank == low), lambda x: x + 1)
+            ids[spots] = self.made[pair[spots]]
+            left = np.ones(len(ids), bool)
+            left[spots + 1] = False
+            word, ids, pair, rank = word[left], ids[left], pair[left], rank[left]
+            now = spots - np.arange(len(spots))  # their places after the cut
+            new = np.append(now, now[now > 0] - 1)
+            after = np.minimum(new + 1, len(ids) - 1)
+            pair[new] = np.where((after > new) & (word[after] == word[new]), self.pairs(ids[new], ids[after]), -1)
+            rank[new] = np.where(pair[new] >= 0, self.ranks[pair[new]], _NONE)
         word, ids = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(word, kind="stable")
-        return ids[order].astype(np.uint32), np.bincount(word, minlength=len(words))
+        return word[order], ids[order]
+
+    def _linked_rounds(self, word: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_rounds``, the lowest rank of all words at a time. A new pair's rank is always above that of the merge that made it."""
+        n = len(ids)
+        following, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        there = np.ones(n, bool)
+        pair = np.full(n, -1)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def look_up(spots: np.ndarray) -> None:
+            after = following[spots]
+            inner = after < n
+            inner[inner] = word[after[inner]] == word[spots[inner]]
+            pair[spots[~inner]] = -1
+            spots, after = spots[inner], after[inner]
+            pair[spots] = self.pairs(ids[spots], ids[after])
+            spots = spots[pair[spots] >= 0]
+            of = self.ranks[pair[spots]]
+            order = np.argsort(of, kind="stable")
+            spots, of = spots[order], of[order]
+            cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else ()
+            for a, b in zip(cuts, [*cuts[1:], len(of)]):
+                r = int(of[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(spots[a:b])
+
+        look_up(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = self.place[r]
+            spots = np.unique(np.concatenate(waiting.pop(r)))
+            spots = _apart(spots[there[spots] & (pair[spots] == at)], lambda x: following[x])
+            if not len(spots):
+                continue
+            gone = following[spots]
+            ids[spots] = self.made[at]
+            there[gone] = False
+            after = following[gone]
+            following[spots] = after
+            inner = after < n
+            before[after[inner]] = spots[inner]
+            left = before[spots]
+            look_up(np.unique(np.append(spots, left[left >= 0])))
+        return word[there], ids[there]
 
     def cut_words(self, text: str) -> list[str]:
         if self.cut is None or not any(s in text for s in self.special):
@@ -155,6 +235,15 @@ class Vocabulary:
         return [b.decode("utf-8", "replace") for b in self.decode_bytes(ids, sizes)]
 
 
+def _apart(spots: np.ndarray, following) -> np.ndarray:
+    """Of places that hold the same pair those that merge: of places that touch, one symbol repeated, every second."""
+    if len(spots) < 2:
+        return spots
+    new_run = np.append(True, following(spots[:-1]) != spots[1:])
+    number = np.arange(len(spots))
+    return spots[(number - np.maximum.accumulate(np.where(new_run, number, 0))) % 2 == 0]
+
+
 @lru_cache(1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -172,7 +261,10 @@ def _chunks(texts: list[str], most: int) -> Iterator[slice]:
 
 
 def encode(docs: DataFrame, vocabulary_path: str | None = None, text: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with an array column ``into`` of token ids; a null text counts as empty and has none."""
+    """``docs`` with an array column ``into`` of token ids, in place of one of that name; a null text counts as empty and has none.
+
+    Repeated rows repeat, an empty table gives no rows, and all other columns pass as they are.
+    """
     path = vocabulary_path or default_vocabulary()
     names = [c for c in docs.columns if c != into]
     where = names.index(text)
@@ -196,7 +288,9 @@ def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of ``docs`` (doc_id, text).
 
     Each text is encoded, its ids hashed as little-endian 32-bit integers, and the ids
-    decoded again. A null text is empty: no ids, hashes of nothing. Repeated rows repeat.
+    decoded again. A null text is empty: no ids, hashes of nothing. Repeated rows repeat,
+    an empty table gives no rows, and other columns are ignored. A text may be one word
+    of any length.
     """
     path = vocabulary_path or default_vocabulary()
 

@@ -129,3 +129,38 @@ def test_counted(spark):
     got = sorted((r.doc_id or 0, r.n_tokens) for r in separators.counted(df).collect())
     assert got == [(0, n("x y z")), (1, n("Hallo Welt")), (2, 1), (3, 1), (3, 1)]
     assert separators.counted(df.filter(F.lit(False))).count() == 0
+
+
+def test_long_words_are_the_librarys(monkeypatch):
+    t = tokenizers.Tokenizer.from_file(bpe.default_vocabulary())
+    v = bpe.Vocabulary(bpe.default_vocabulary())
+    assert v.ordered
+    r = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for x in ("".join(r.choices(letters, k=200_000)), "a" * 50_001, "ab" * 900 + " " + "é" * 700, "=-" * 5000, " " * 3000):
+        ids, sizes = v.encode([x, "kurz", x])
+        want = t.encode(x, add_special_tokens=False).ids
+        assert ids.tolist() == want + t.encode("kurz", add_special_tokens=False).ids + want and v.decode(ids, sizes)[2] == x
+    monkeypatch.setattr(bpe, "LONG", 2)  # all words in linked rounds
+    some = texts(300)
+    v.forget()
+    assert v.encode(some)[0].tolist() == [i for e in t.encode_batch(some, add_special_tokens=False) for i in e.ids]
+
+
+def test_flat_with_another_vocabulary():
+    path = bpe.default_vocabulary()
+    enc, t = flat.Encoder(path), tokenizers.Tokenizer.from_file(path)
+    some = ["Hallo  Welt, it's 10!", "", "a\n b"]
+    ids, sizes = enc.encode(some)
+    assert not enc.cuts and flat.Encoder(flat.default_vocabulary()).cuts
+    assert ids.tolist() == [i for x in some for i in t.encode(x, add_special_tokens=False).ids] and len(sizes) == 3
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = "Der Hund läuft 10 km. " * 40_000
+    df = spark.createDataFrame([(1, long, "s", 5), (2, "x", "t", 6)], "doc_id long, text string, shard string, n_tokens int")
+    assert [tuple(r) for r in flat.token_files(df).orderBy("start").collect()] == expected_files([(1, long), (2, "x")])
+    enc = separators.encoding(separators.default_vocabulary())
+    assert {r.doc_id: r.n_tokens for r in separators.counted(df.withColumnRenamed("shard", "position")).collect()} == {1: len(enc.encode_ordinary(long)) + 1, 2: len(enc.encode_ordinary("x")) + 1}
+    plan = separators.counted(df)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
