@@ -7,7 +7,8 @@ made right again, dates stay real dates of 1901 to 2096. The permutation depends
 the key, the kind and the value, so equal values stay linked across documents and
 different ones stay different. Candidates that don't validate are left as they are.
 
-Dates are yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy, and dd/mm/yyyy where that is no mm/dd/yyyy.
+E-mail addresses that differ in case alone are one and get one pseudonym, in lower case.
+Dates are yyyy-mm-dd (of a timestamp too), dd.mm.yyyy, mm/dd/yyyy, and dd/mm/yyyy where that is no mm/dd/yyyy.
 Phone numbers are international ones with a plus, and North American ones without
 (with parentheses, hyphens or dots), whose area and exchange are 200 to 999 and don't end
 in 11; other national forms have no check that tells them from other numbers and are left
@@ -25,7 +26,7 @@ SETTING = "spark.segmill.pseudonyms.key"
 
 _EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])"
 _IBAN = r"(?<!\w)[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)"
-_DATE = r"(?<![\w.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\w-])"
+_DATE = r"(?<![\w.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?:(?=T[0-9]{2}:)|(?![\w-]))"
 _IP = r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])"
 _SSN = r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
 _CARD = r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![\w-]|\.[0-9])"

@@ -130,3 +130,8 @@ def test_a_key_is_needed(spark):
     with pytest.raises(ValueError):
         pii.pseudonymise(df.sparkSession.newSession().createDataFrame([(1, "10.0.0.1")], "doc_id long, text string"))
     assert pii.pseudonymise(df, key="x").first().text != pii.pseudonymise(df, key="y").first().text
+
+
+def test_dates_of_timestamps(spark):
+    got = run(spark, ["um 1987-05-12T10:30:00Z", "am 1987-05-12", "1987-05-12Tag"])
+    assert got[0][0] == f"um {got[1][0][3:]}T10:30:00Z" and got[1][0] != "am 1987-05-12" and got[2] == ("1987-05-12Tag", 0)
