@@ -237,13 +237,13 @@ def _link(percent: int):
     return run
 
 
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """``rows`` (with key and id) dealt and sorted so that any two rows of a key meet in one group (key, i, j) of at most about two blocks."""
-    sizes = rows.groupBy(F.col("key").alias("its_key")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+def _in_blocks(rows: DataFrame, of: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks of each key of ``of``, ``rows`` dealt and sorted so that any two rows of a key meet in one group (key, i, j) of at most about two blocks)."""
+    sizes = stash(of.groupBy(F.col("key").alias("its_key")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "sizes")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = rows.join(sizes, rows["key"] == sizes["its_key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.join(sizes, F.col("key") == F.col("its_key")).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     out = dealt.select(*rows.columns, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    return out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return sizes, out.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def _classes(texts: DataFrame, percent: int, block: int) -> tuple[DataFrame, DataFrame]:
@@ -255,6 +255,7 @@ def _classes(texts: DataFrame, percent: int, block: int) -> tuple[DataFrame, Dat
     sketch = reps.select(F.col("rep").alias("id"), "n", "regs")
     bands = reps.select("rep", "regs").mapInArrow(_bands, "key long, id long")
     shared = bands.groupBy(F.col("key").alias("hub_key")).agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last")
+    shared = stash(shared, "shared")  # as a table: of a join with an aggregate Spark can't split hot keys
     buckets = stash(bands.join(shared, F.col("key") == F.col("hub_key")).filter(F.col("id") != F.col("hub")).select("key", "id", "hub"), "buckets")
     hubs = sketch.select(F.col("id").alias("hub"), F.col("n").alias("hub_n"), F.col("regs").alias("hub_regs"))
     tried = buckets.select("id", "hub").distinct()
@@ -269,15 +270,17 @@ def _classes(texts: DataFrame, percent: int, block: int) -> tuple[DataFrame, Dat
     # Buckets whose other rows still are of several components. All pairs with a bucket's hub have been tried, so it stays out.
     named = buckets.join(first, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     open_keys = named.groupBy(F.col("key").alias("open_key")).agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high")
+    open_keys = stash(open_keys, "open-keys")
     open_rows = stash(named.join(open_keys, F.col("key") == F.col("open_key")).select("key", "id", "component"), "open")
-    drop(buckets)
-    seen = open_rows.join(sketch, "id").select("key", "id", "component", "n", "regs")
-    flagged = stash(_in_blocks(seen, block).mapInArrow(_flag(percent), "key long, id long, component long").distinct(), "flagged")
-    drop(open_rows)
+    drop(buckets, open_keys, shared)
+    sizes, dealt = _in_blocks(open_rows.join(sketch, "id").select("key", "id", "component", "n", "regs"), open_rows, block)
+    flagged = stash(dealt.mapInArrow(_flag(percent), "key long, id long, component long").distinct(), "flagged")
+    drop(open_rows, sizes)
     wanted = stash(picked(flagged.select("id")), "wanted")
     more = flagged.join(wanted, "id").select("key", "id", "component", "text")
-    late = stash(_in_blocks(more, block).mapInArrow(_link(percent), "u long, v long"), "late")
-    drop(flagged, wanted)
+    sizes, dealt = _in_blocks(more, flagged, block)
+    late = stash(dealt.mapInArrow(_link(percent), "u long, v long"), "late")
+    drop(flagged, wanted, sizes)
     joined = late.join(first.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(first.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
     merged = components(joined.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")))
     merged = merged.select(F.col("node").alias("was"), F.col("component").alias("now"))
