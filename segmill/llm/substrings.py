@@ -270,8 +270,9 @@ def _counted(rows: DataFrame) -> DataFrame:
     each = rows.groupBy("key", "digest").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "th", "first", "n", "lead")).alias("at"))
     each = stash(each.select("key", "digest", "times", "at.*"), "contexts")
     anchors = each.groupBy(F.col("key").alias("its_key")).agg(F.sum("times").alias("all"), F.sum(F.col("n").cast("long")).alias("starts"), F.count("*").alias("kinds")).filter("all > 1")
+    anchors = stash(anchors, "anchors")  # as a table: of a join with an aggregate Spark can't split hot keys
     out = stash(each.join(anchors, F.col("key") == F.col("its_key")).drop("its_key", "all"), "open")
-    drop(each)
+    drop(each, anchors)
     return out
 
 
@@ -322,7 +323,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shar
         per = found[0]
         for f in found[1:]:
             per = per.unionByName(f)
-        per = per.groupBy("key", "digest").agg(F.collect_list(F.struct("a", "b")).alias("parts"))
+        per = stash(per.groupBy("key", "digest").agg(F.collect_list(F.struct("a", "b")).alias("parts")), "found")
+        made.append(per)
         hits = seen.join(per, ["key", "digest"]).select("doc_id", "th", F.explode(F.transform("parts", lambda p: F.struct((p["a"] + F.col("first")).alias("a"), (p["b"] + F.col("first")).alias("b")))).alias("s"))
         spans = stash(hits.groupBy("doc_id", "th").agg(F.collect_set("s").alias("spans")), "removed")
     else:
