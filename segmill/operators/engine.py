@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .cascade import LANGUAGES, Options, Piece, segment, segment_text
 from .markup import Part, chunks, normalised, parse_html, parse_xml, place_tokens
-from .sentences import add_sentence_tags, mark_sentences, merge_empty, sentence_numbers
+from .sentences import add_sentence_tags, mark_sentences, merge_empty, sentence_ends
 
 _FIELDS = [
     ("par_no", pa.int32()),
@@ -105,31 +105,36 @@ def sentences(units: list[Unit], options: Options) -> list[tuple[int, list[Piece
     split, of = [], {}
     for no, tokens in units:
         mark_sentences(tokens, options.language)
-        groups: dict[int, list[Piece]] = {}
-        for k, t in zip(sentence_numbers(tokens), tokens):
-            groups.setdefault(k, []).append(t)
-            of[id(t)] = no
-        split += groups.values()
+        start = 0
+        for end in sentence_ends(tokens):
+            if end > start:
+                split.append(tokens[start:end])
+                of[id(tokens[start])] = no
+                start = end
     return [(of[id(s[0])], s) for s in merge_empty(split) if s]
 
 
-def _rows(units: list[Unit], options: Options, xml_sentences: str | None, strip_tags: bool) -> Iterator[tuple]:
-    """The tokens of one document in order, numbered."""
+def _runs(units: list[Unit], options: Options, xml_sentences: str | None, strip_tags: bool) -> Iterator[tuple[int, int | None, int, list[Piece]]]:
+    """The tokens of one document in order, a sentence or a unit at a time: (unit, sentence, number of the first token, tokens)."""
     if not options.split_sentences:
         for no, tokens in units:
-            kept = [t for t in tokens if not (strip_tags and t.markup)]
-            yield from ((no, None, i, t) for i, t in enumerate(kept))
+            yield no, None, 0, [t for t in tokens if not t.markup] if strip_tags else tokens
         return
     found = sentences(units, options)
-    bodies = [[t for t in s if not (strip_tags and t.markup)] for _, s in found]
+    bodies = [[t for t in s if not t.markup] if strip_tags else s for _, s in found]
     if xml_sentences:
         bodies = add_sentence_tags(bodies, xml_sentences)
     at: dict[int, int] = {}
     for k, ((no, _), body) in enumerate(zip(found, bodies)):
-        for t in body:
-            i = at.get(no, 0)
-            at[no] = i + 1
-            yield no, k, i, t
+        i = at.get(no, 0)
+        at[no] = i + len(body)
+        yield no, k, i, body
+
+
+def _rows(units: list[Unit], options: Options, xml_sentences: str | None, strip_tags: bool) -> Iterator[tuple]:
+    """The tokens of one document in order, numbered."""
+    for no, k, first, body in _runs(units, options, xml_sentences, strip_tags):
+        yield from ((no, k, i, t) for i, t in enumerate(body, first))
 
 
 def _escaped(x: str | None) -> str | None:
@@ -139,8 +144,7 @@ def _escaped(x: str | None) -> str | None:
 def _kernel(units_of, options_of, xml_sentences: str | None, strip_tags: bool, escape: bool, id_kind: pa.DataType, fields: list[tuple[str, pa.DataType]], nested: bool):
     """Batches of documents to batches of tokens; ``nested`` keeps a row a document, with its language and an array of tokens."""
     names = [n for n, _ in fields]
-    numbers, attributes = [n for n in names if n not in _PIECE], [n for n in names if n in _PIECE]
-    at = {"par_no": 0, "sent_no": 1, "tok_no": 2}
+    attributes = [n for n in names if n in _PIECE]
     kinds = pa.struct([pa.field(n, k) for n, k in fields])
     schema = pa.schema([("doc_id", id_kind), ("lang", pa.string()), ("tokens", pa.list_(kinds))]) if nested else pa.schema([("doc_id", id_kind), *fields])
 
@@ -162,14 +166,18 @@ def _kernel(units_of, options_of, xml_sentences: str | None, strip_tags: bool, e
             for doc, text, lang in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "lang"))):
                 if text is not None:
                     options = options_of(lang)
-                    rows = list(_rows(units_of(text, options), options, xml_sentences, strip_tags))
-                    for n in numbers:
-                        columns[n] += [r[at[n]] for r in rows]
-                    for n in attributes:
-                        values = [getattr(r[3], n) for r in rows]
-                        if escape and n in ("text", "original_spelling"):
-                            values = [v if r[3].markup else _escaped(v) for v, r in zip(values, rows)]
-                        columns[n] += values
+                    for no, k, i, body in _runs(units_of(text, options), options, xml_sentences, strip_tags):
+                        if "par_no" in columns:
+                            columns["par_no"] += [no] * len(body)
+                        if "sent_no" in columns:
+                            columns["sent_no"] += [k] * len(body)
+                        if "tok_no" in columns:
+                            columns["tok_no"] += range(i, i + len(body))
+                        for n in attributes:
+                            values = [getattr(t, n) for t in body]
+                            if escape and n in ("text", "original_spelling"):
+                                values = [v if t.markup else _escaped(v) for v, t in zip(values, body)]
+                            columns[n] += values
                 docs.append(doc)
                 langs.append(lang)
                 ends.append(len(first))
@@ -299,6 +307,20 @@ def sentence_texts(tokens: DataFrame) -> DataFrame:
     return got.select("doc_id", "sent_no", "n_tokens", F.array_join(F.transform("t", lambda x: x["text"]), " ").alias("sentence"))
 
 
+def sentence_lengths(numbers: Column) -> dict[str, Column]:
+    """Sentences, tokens of the longest one and tokens, of an array with the sentence number of each token in order.
+
+    One step a token: a lambda that looks into the array again would take it anew each time.
+    """
+
+    def step(a: Column, x: Column) -> Column:
+        run = F.when(x.eqNullSafe(a["at"]), a["run"] + 1).otherwise(F.lit(1))
+        return F.struct(x.alias("at"), run.alias("run"), F.greatest(a["longest"], run).alias("longest"))
+
+    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0).alias("run"), F.lit(0).alias("longest"))
+    return {"n_sentences": F.element_at(numbers, -1) + 1, "longest": F.aggregate(numbers, start, step, lambda a: a["longest"]), "n_tokens": F.size(numbers)}
+
+
 def records(tokens: Column) -> Column:
     """An array of tokens as (text, token_class, extra_info), the form that given tokens have for the sentence functions of SQL."""
     return F.transform(tokens, lambda t: F.struct(t["text"].alias("text"), t["token_class"].alias("token_class"), extra_info(t).alias("extra_info")))

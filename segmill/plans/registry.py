@@ -13,7 +13,7 @@ from ..functions import lexicons, native, sqludf
 from ..functions.lexicons import EOS_TAGS
 from ..operators import evaluate
 from ..operators.cascade import Options
-from ..operators.engine import detokenized, escape_xml, joined, laid_out, merge_empty_sentences, sentence_texts, spelled, tokenize_text, tokenize_xml
+from ..operators.engine import detokenized, escape_xml, joined, laid_out, merge_empty_sentences, sentence_lengths, sentence_texts, spelled, tokenize_text, tokenize_xml
 from ..sources.text import paragraphs, scratch
 from ..streaming.tokens import tokenize_stream, write_available
 from . import golden
@@ -129,10 +129,7 @@ def token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences of each document and their lengths in tokens."""
     t = _tokens(spark, sf_dir, ["sent_no"], split_sentences=True).select("doc_id", F.col("tokens.sent_no").alias("s"))
-    ends = F.filter(F.transform("s", lambda x, i: F.when(~F.get("s", i + 1).eqNullSafe(x), i + 1)), lambda x: x.isNotNull())
-    t = t.withColumn("ends", ends)
-    lengths = F.transform("ends", lambda e, i: (e - F.coalesce(F.get("ends", i - 1), F.lit(0))).cast("long"))
-    return t.filter(F.size("s") > 0).select("doc_id", F.size("ends").cast("long").alias("n_sentences"), F.array_max(lengths).alias("longest"), F.size("s").cast("long").alias("n_tokens"))
+    return t.filter(F.size("s") > 0).select("doc_id", *[c.cast("long").alias(n) for n, c in sentence_lengths(F.col("s")).items()])
 
 
 _DECOMPOSED = {"ä": "a\u0308", "ö": "o\u0308", "ü": "u\u0308", "é": "e\u0301", "è": "e\u0300", "ñ": "n\u0303", "ç": "c\u0327"}
